@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mascate.functions.keys import digits, parent_tax_id14, phone_of, tax_id14, visible
-from mascate.operators.dedupe import first_per_key
+from mascate.operators.dedupe import best_per_key, low_first
 
 
 def customer_phone(blank_as_null: bool = False):
@@ -28,9 +28,7 @@ def customer_directory(customers: DataFrame, blank_phone_as_null: bool = False)
         "status",
         "customer_id",
     )
-    return first_per_key(
-        accounts, ["tax_digits"], [F.col("customer_id").asc_nulls_last()]
-    ).drop("customer_id")
+    return best_per_key(accounts, ["tax_digits"], [low_first("customer_id")]).drop("customer_id")
 
 
 def visible_customers(customers: DataFrame) -> DataFrame:
@@ -56,20 +54,24 @@ def account_groups(customers: DataFrame) -> DataFrame:
 def target_groups(targets: DataFrame, customers: DataFrame) -> DataFrame:
     """The group of each target tax id (column ``tax_id``), one row per padded target.
 
-    The parent comes from the lowest visible account with that id. ``group_id`` is the raw parent id and
-    NULL if there is none; ``parent_tax_id14`` then is the target itself.
+    The parent comes from the lowest visible account with that id. ``group_id`` is the raw parent
+    id and NULL if there is none; ``parent_tax_id14`` then is the target itself. ``listed`` tells
+    whether the group holds an account stored under exactly the target's id.
     """
     asked = targets.select(tax_id14(F.col("tax_id")).alias("target")).distinct()
-    home = first_per_key(
-        visible_customers(customers).select(
-            digits(F.col("tax_id")).alias("target"),
-            F.col("parent_tax_id").alias("group_id"),
-            "customer_id",
-        ),
-        ["target"],
-        [F.col("customer_id").asc_nulls_last()],
-    ).drop("customer_id")
-    return asked.join(home, "target", "left").withColumn(
-        "parent_tax_id14",
-        tax_id14(F.coalesce("group_id", "target")),
+    target = digits(F.col("tax_id"))
+    per_group = (
+        visible_customers(customers)
+        .groupBy(target.alias("target"), F.col("parent_tax_id").alias("group_id"))
+        .agg(
+            F.min("customer_id").alias("customer_id"),
+            F.max(F.col("tax_id") == target).alias("listed"),
+        )
+    )
+    home = best_per_key(per_group, ["target"], [low_first("customer_id")]).drop("customer_id")
+    return asked.join(home, "target", "left").select(
+        "target",
+        "group_id",
+        tax_id14(F.coalesce("group_id", "target")).alias("parent_tax_id14"),
+        (F.col("group_id").isNotNull() & F.coalesce("listed", F.lit(False))).alias("listed"),
     )

@@ -1,18 +1,25 @@
-"""First row per key."""
+"""Best row per key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the first in ``order``; the order must leave no ties that matter.
+def low_first(number: str) -> Column:
+    """Ranks a whole number from low to high; NULL comes last."""
+    return F.bitwise_not(F.col(number))
 
-    Each input partition drops all but its own best row per key before the shuffle (Spark plans a
-    partial window group limit), so a key with very many rows reaches its task as few rows.
+
+def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """One row per key: the highest in ``order``, NULL last; remaining ties go by the other columns.
+
+    This is one aggregate with a partial step before the shuffle, so a key that holds a large part
+    of the rows leaves each map task as a single row. Equal input gives equal output in any order.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    rank = [(F.col(c) if isinstance(c, str) else c).alias(f"_{i}") for i, c in enumerate(order)]
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*rank, *rest)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])

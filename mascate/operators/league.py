@@ -37,8 +37,9 @@ def league_sales_by_seller(
     window = DateWindow.days(start or first_of_month(as_of), end or as_of)
     per_customer = (
         net_ledger(orders, returns, window)
-        .groupBy(digits(F.col("tax_id")).alias("tax_digits"), "seller_no")
+        .groupBy("tax_id", "seller_no")
         .agg(F.sum("value").alias("value"))
+        .withColumn("tax_digits", digits(F.col("tax_id")))
     )
     is_new = F.col("member_since") >= F.lit(new_since)
     per_number = (

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mascate.functions.calendar import DateWindow, resolve_window
+from mascate.functions.keys import digits
 from mascate.operators.customers import account_groups, target_groups
 from mascate.operators.owners import flag_owned, latest_owner
-from mascate.functions.keys import digits
 
 ZERO = "0.00"
 
@@ -70,9 +70,9 @@ def net_purchases(
     accounts ever owned by the seller count; a target for which that leaves nothing gets its
     unfiltered rows.
 
-    Sums are formed once per account and period, then once per group, and each target adds its own
-    account only if the group lacks it. The work stays linear in the accounts: no pair of target
-    and account is ever formed.
+    Facts are summed once per account and period, then once per group. A target reads the sum of
+    its group and, if the group lacks the target's own id, of a group that holds just that id. The
+    work stays linear in the accounts: no pair of target and account is ever formed.
     """
     if grain not in ("month", "day"):
         raise ValueError(f"grain must be 'month' or 'day', got {grain!r}")
@@ -80,73 +80,74 @@ def net_purchases(
     period = F.trunc("date", "MM") if grain == "month" else F.col("date")
     layout = "yyyy-MM" if grain == "month" else "yyyy-MM-dd"
 
+    asked = target_groups(targets, customers)
+    owner = latest_owner(history, sellers).withColumnRenamed("tax_digits", "parent_tax_id14")
+    group_source = F.concat(F.lit("group "), F.col("group_id"))
+    own_source = F.concat(F.lit("own "), F.col("target"))
+    # The owner joins one row per target here, not one per target and period later.
+    sources = (
+        asked.join(owner, "parent_tax_id14", "left")
+        .select(
+            "target",
+            "seller_no",
+            "seller_name",
+            F.explode(F.array(group_source, F.when(~F.col("listed"), own_source))).alias("source"),
+        )
+        .where(F.col("source").isNotNull())
+    )
+    links = (
+        account_groups(customers)
+        .join(asked.select("group_id").distinct(), "group_id", "left_semi")
+        .select(group_source.alias("source"), "account")
+        .unionByName(
+            asked.where(~F.col("listed")).select(
+                own_source.alias("source"), F.col("target").alias("account")
+            )
+        )
+    )
     net = (
         net_ledger(orders, returns, window)
-        .groupBy("tax_id", period.alias("period"))
+        .groupBy(F.col("tax_id").alias("account"), period.alias("period"))
         .agg(F.sum("value").alias("value"))
     )
-
-    groups = account_groups(customers)
-    asked = target_groups(targets, customers)
-    wanted = groups.join(asked.select("group_id").distinct(), "group_id", "left_semi")
-
-    own_only = asked.join(
-        groups.select("group_id", F.col("account").alias("target")), ["group_id", "target"], "left_anti"
-    ).join(net.withColumnRenamed("tax_id", "target"), "target")
-
+    sums = [F.sum("value").alias("value")]
     if seller_no is None:
-        group_net = (
-            wanted.join(net.withColumnRenamed("tax_id", "account"), "account")
-            .groupBy("group_id", "period")
-            .agg(F.sum("value").alias("value"))
-        )
-        parts = asked.join(group_net, "group_id").unionByName(own_only)
+        per_account = links.join(net, "account")
     else:
-        owned = flag_owned(
-            wanted.withColumn("account_digits", digits(F.col("account"))),
+        # Only accounts of the group can be the seller's; the target's own id is never forced in.
+        flagged = flag_owned(
+            links.withColumn("account_digits", digits(F.col("account"))),
             "account_digits",
             history,
             seller_no,
         )
-        group_net = (
-            owned.join(net.withColumnRenamed("tax_id", "account"), "account")
-            .groupBy("group_id", "period")
-            .agg(
-                F.sum("value").alias("all_value"),
-                F.sum(F.when(F.col("owned"), F.col("value"))).alias("owned_value"),
-                F.max("owned").alias("owned_here"),
-            )
-        )
-        # One flag per group; a filtered answer depends on the group only.
-        found = group_net.groupBy("group_id").agg(F.max("owned_here").alias("found"))
-        chosen = (
-            group_net.join(found, "group_id")
-            .where(F.col("owned_here") | ~F.col("found"))
-            .select(
-                "group_id",
-                "period",
-                F.when(F.col("found"), F.col("owned_value"))
-                .otherwise(F.col("all_value"))
-                .alias("value"),
-            )
+        counts = F.col("owned") & F.col("source").startswith("group ")
+        per_account = flagged.join(net, "account").withColumn(
+            "owned_value", F.when(counts, F.col("value"))
         )
-        served = found.where("found").select("group_id")
-        parts = asked.join(chosen, "group_id").unionByName(
-            own_only.join(served, "group_id", "left_anti")
+        sums.append(F.sum("owned_value").alias("owned_value"))
+    per_source = per_account.groupBy("source", "period").agg(*sums)
+    rows = (
+        sources.join(per_source, "source")
+        .groupBy("target", "period", "seller_no", "seller_name")
+        .agg(*sums)
+    )
+    if seller_no is not None:
+        # Owned sums are NULL where the seller owns none of the period's accounts. A target has
+        # at most one row per period here, so the window stays small.
+        owned = F.col("owned_value")
+        rows = (
+            rows.withColumn("found", F.count(owned).over(Window.partitionBy("target")) > 0)
+            .where(owned.isNotNull() | ~F.col("found"))
+            .withColumn("value", F.when(F.col("found"), owned).otherwise(F.col("value")))
         )
 
-    owner = latest_owner(history, sellers).withColumnRenamed("tax_digits", "parent_tax_id14")
-    result = (
-        parts.groupBy("target", "parent_tax_id14", "period")
-        .agg(F.round(F.sum("value"), 2).alias("total"))
-        .join(owner, "parent_tax_id14", "left")
-        .select(
-            F.col("target").alias("tax_id"),
-            F.date_format("period", layout).alias("label"),
-            "period",
-            "total",
-            "seller_no",
-            "seller_name",
-        )
+    result = rows.select(
+        F.col("target").alias("tax_id"),
+        F.date_format("period", layout).alias("label"),
+        "period",
+        F.round("value", 2).alias("total"),
+        "seller_no",
+        "seller_name",
     )
     return result.orderBy("tax_id", "period") if ordered else result

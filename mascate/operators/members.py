@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mascate.functions.keys import digits, has_number, parent_tax_id14, phone_of, tax_id14, tax_id14_uncut, visible
 from mascate.functions.text import date_text
 from mascate.operators.customers import customer_directory, customer_phone, visible_customers
-from mascate.operators.dedupe import first_per_key
+from mascate.operators.dedupe import best_per_key, low_first
 from mascate.operators.fallback import either
 from mascate.operators.owners import latest_owner, owned_by_seller, owned_ids
 
@@ -65,15 +65,10 @@ def top_members(
             F.coalesce("parent_tax_id14", F.concat(F.lit("c"), F.col("member_no").cast("string"))),
         )
     )
-    one_per_parent = first_per_key(
-        ranked,
+    one_per_parent = best_per_key(
+        ranked.drop("member_no"),
         ["_key"],
-        [
-            (~F.coalesce("own_is_parent", F.lit(False))).asc(),
-            F.col("position").asc_nulls_last(),
-            F.col("value").desc_nulls_first(),
-            F.col("tax_id14").asc_nulls_last(),
-        ],
+        [F.coalesce("own_is_parent", F.lit(False)), low_first("position"), "value", "tax_id14"],
     ).select("position", "value", F.coalesce("parent_tax_id14", "tax_id14").alias("tax_id"))
     listed = directory.select(F.col("tax_digits").alias("tax_id"), "name", "phone", "status")
     order = [
@@ -139,9 +134,9 @@ def birthdays(
     )
 
     def this_month(df: DataFrame) -> DataFrame:
-        return first_per_key(
-            df, ["parent_tax_id"], [F.col("customer_id").asc_nulls_last()]
-        ).where(F.month("parent_birth") == as_of.month)
+        return best_per_key(df, ["parent_tax_id"], [low_first("customer_id")]).where(
+            F.month("parent_birth") == as_of.month
+        )
 
     if seller_no is None:
         parents = this_month(accounts)
@@ -198,14 +193,8 @@ def roster_list(roster: DataFrame, members: DataFrame, customers: DataFrame) ->
         .where(visible(F.col("status")))
         .withColumn("parent_key", F.coalesce("parent_tax_id14", "tax_id14"))
     )
-    best = first_per_key(
-        listed,
-        ["parent_key"],
-        [
-            F.col("plan_end").desc_nulls_last(),
-            F.col("plan_code").asc_nulls_last(),
-            F.col("member_no").asc_nulls_last(),
-        ],
+    best = best_per_key(
+        listed, ["parent_key"], ["plan_end", low_first("plan_code"), low_first("member_no")]
     )
     return best.select(
         "plan_code",
@@ -241,29 +230,26 @@ def member_profile(
         has_number(F.col("phone2")).alias("has_mobile"),
         customer_phone().alias("phone"),
     )
-    home = first_per_key(
-        keyed.select("tax_id14", "group_id", "customer_id"),
-        ["tax_id14"],
-        [F.col("customer_id").asc_nulls_last()],
+    home = best_per_key(
+        keyed.select("tax_id14", "group_id", "customer_id"), ["tax_id14"], [low_first("customer_id")]
     ).select(F.col("tax_id14").alias("target"), "group_id")
 
     # One row per tax id.
     on_roster = active_roster(roster).withColumn("on_roster", F.lit(True))
     shown = ["tax_id", "name", "stars", "plan", "points", "exchange_days", "discount_pct"]
     shown += ["purchases_7m", "current_month", "birth", "plan_start", "plan_end"]
-    newest = [
-        F.col("changed").desc_nulls_last(),
-        F.col("plan_code").desc_nulls_last(),
-        F.col("member_no").desc_nulls_last(),
-    ]
-    records = first_per_key(
-        members.withColumn("tax_id14", tax_id14(F.col("tax_id"))), ["tax_id14"], newest
-    ).select(
-        "tax_id14", "changed", "plan_code", "member_no", F.struct(*shown).alias("record")
+    newest = ["changed", "plan_code", "member_no"]
+    records = best_per_key(
+        members.select(
+            tax_id14(F.col("tax_id")).alias("tax_id14"), *newest, F.struct(*shown).alias("record")
+        ),
+        ["tax_id14"],
+        newest,
     )
-    by_phone = [F.col("has_mobile").desc(), F.col("customer_id").asc_nulls_last()]
-    phones = first_per_key(visible_customers(keyed), ["tax_id14"], by_phone).select(
-        "tax_id14", "has_mobile", "customer_id", "phone"
+    phones = best_per_key(
+        visible_customers(keyed).select("tax_id14", "has_mobile", "customer_id", "phone"),
+        ["tax_id14"],
+        ["has_mobile", low_first("customer_id")],
     )
     facts = (
         phones.join(records, "tax_id14", "full")
@@ -274,8 +260,8 @@ def member_profile(
     # One row per group.
     accounts = visible_customers(keyed).select("group_id", "tax_id14").distinct()
     in_group = accounts.join(facts, "tax_id14")
-    record_rank = F.struct("changed", "plan_code", "member_no", "tax_id14", "record")
-    phone_rank = F.struct("has_mobile", (-F.col("customer_id")).alias("low_id"), "phone")
+    record_rank = F.struct(*newest, "tax_id14", "record")
+    phone_rank = F.struct("has_mobile", low_first("customer_id").alias("low_id"), "phone")
     groups = (
         in_group.groupBy("group_id")
         .agg(

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mascate.functions.keys import digits
-from mascate.operators.dedupe import first_per_key
+from mascate.operators.dedupe import best_per_key, low_first
 
 
 def sellers_by_number(sellers: DataFrame) -> DataFrame:
     """One seller per seller number: the lowest ``seller_id``."""
-    return first_per_key(sellers, ["seller_no"], [F.col("seller_id").asc_nulls_last()])
+    return best_per_key(sellers, ["seller_no"], [low_first("seller_id")])
 
 
 def latest_owner(history: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def latest_owner(history: DataFrame, sellers: DataFrame) -> DataFrame:
     An unknown time counts as oldest; equal times go to the highest seller number. The history is
     reduced to one row per tax id before it meets the sellers.
     """
-    newest = first_per_key(
+    newest = best_per_key(
         history.select(digits(F.col("tax_id")).alias("tax_digits"), "seller_no", "since"),
         ["tax_digits"],
-        [F.col("since").desc_nulls_last(), F.col("seller_no").desc_nulls_last()],
+        ["since", "seller_no"],
     ).drop("since")
     names = sellers_by_number(sellers).select("seller_no", F.trim("name").alias("seller_name"))
     return newest.join(names, "seller_no", "left").select("tax_digits", "seller_no", "seller_name")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mascate.functions.calendar import DateWindow, add_months, first_of_month
 from mascate.functions.keys import digits, visible
 from mascate.operators.customers import customer_directory, customer_phone
-from mascate.operators.dedupe import first_per_key
+from mascate.operators.dedupe import best_per_key
 from mascate.operators.fallback import with_fallback
 from mascate.operators.ledger import net_ledger
 from mascate.operators.owners import flag_owned, latest_owner
@@ -50,16 +50,17 @@ def deactivation_risk(
         current = F.when(F.col("kind") == "return", -current).otherwise(current)
 
     # One row per account before any join: an account with a large share of the facts is already
-    # summed on the map side.
+    # summed on the map side. Digits are taken of the few summed rows, not of every fact.
     per_account = (
         net_ledger(orders, returns, window, strict_returns=False)
-        .groupBy(digits(F.col("tax_id")).alias("tax_digits"))
+        .groupBy("tax_id")
         .agg(
             F.sum("value").alias("total"),
             F.sum(
                 F.when(F.col("date") >= F.lit(this_month), current).otherwise(F.lit(0))
             ).alias("month"),
         )
+        .withColumn("tax_digits", digits(F.col("tax_id")))
     )
     directory = customer_directory(customers)
     parents = directory.select("tax_digits", "parent_tax_id14")
@@ -156,11 +157,11 @@ def active_customers(
         .select("customer_id", "last.*")
         .withColumn("tax_digits", digits(F.col("tax_id")))
     )
-    phones = first_per_key(
-        customers.select("customer_id", customer_phone().alias("phone"), "tax_id"),
+    phones = best_per_key(
+        customers.select("customer_id", "tax_id", customer_phone().alias("phone")),
         ["customer_id"],
-        [F.col("tax_id").asc_nulls_last(), F.col("phone").asc_nulls_last()],
-    ).select("customer_id", "phone")
+        ["tax_id"],
+    ).drop("tax_id")
     result = (
         active.join(phones, "customer_id", "left")
         .join(_shown_seller(history, sellers), "tax_digits", "left")
