@@ -11,6 +11,7 @@ from mascate.functions.calendar import first_of_month
 from mascate.functions.keys import tax_id14, visible
 from mascate.operators.customers import customer_directory
 from mascate.operators.fallback import with_fallback
+from mascate.operators.lookup import lookup
 from mascate.operators.owners import flag_owned, latest_owner
 
 # The stars of a finished race, the share of the expected amount that is still
@@ -42,12 +43,8 @@ def _with_member(
         F.col("tax_digits").alias("tax_id14"), "is_parent", "parent_tax_id14", "phone", "status"
     )
     owner = latest_owner(history, sellers).withColumnRenamed("tax_digits", "parent_tax_id14")
-    return (
-        df.join(detail, "member_no", "left")
-        .join(directory, "tax_id14", "left")
-        .where(visible(F.col("status")))
-        .join(owner, "parent_tax_id14", "left")
-    )
+    people = lookup(df.join(detail, "member_no", "left"), directory, "tax_id14")
+    return lookup(people.where(visible(F.col("status"))), owner, "parent_tax_id14")
 
 
 def race_pacing(
@@ -206,13 +203,15 @@ def goal_streaks(
     runs = goal_islands(purchases, goals, last_period).where(
         F.col("is_current") & F.col("length").isin(*lengths)
     )
-    # A current run ends at the last goal period, so its goal is the current goal.
-    current_goal = goals.select(F.col("period").alias("last_period"), "goal")
-    bought = purchases.select(
-        "member_no", F.col("period").alias("last_period"), F.col("total").alias("bought")
-    )
+    # All current runs end at the last goal period: its goal is one value, and its purchases are
+    # one row per member.
+    past = goals.where(F.col("period") <= F.lit(last_period))
+    goal = past.agg(F.max_by("goal", "period").alias("goal")).scalar()
+    bought = purchases.where(
+        F.col("period") == past.agg(F.max("period").alias("period")).scalar()
+    ).select("member_no", F.col("total").alias("bought"))
     people = _with_member(
-        runs.join(current_goal, "last_period").join(bought, ["member_no", "last_period"], "left"),
+        runs.withColumn("goal", goal).join(bought, "member_no", "left"),
         members,
         customers,
         history,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mascate.functions.calendar import DateWindow, resolve_window
 from mascate.functions.keys import digits
 from mascate.operators.customers import account_groups, target_groups
+from mascate.operators.lookup import lookup
 from mascate.operators.owners import flag_owned, latest_owner
 
 ZERO = "0.00"
@@ -86,7 +87,7 @@ def net_purchases(
     own_source = F.concat(F.lit("own "), F.col("target"))
     # The owner joins one row per target here, not one per target and period later.
     sources = (
-        asked.join(owner, "parent_tax_id14", "left")
+        lookup(asked, owner, "parent_tax_id14")
         .select(
             "target",
             "seller_no",

@@ -12,6 +12,7 @@ from mascate.functions.text import date_text
 from mascate.operators.customers import customer_directory, customer_phone, visible_customers
 from mascate.operators.dedupe import best_per_key, low_first
 from mascate.operators.fallback import either
+from mascate.operators.lookup import lookup
 from mascate.operators.owners import latest_owner, owned_by_seller, owned_ids
 
 # How many members the ranking shows, and the texts of a member's standing.
@@ -56,14 +57,13 @@ def top_members(
         F.col("tax_digits").alias("tax_id14"), "parent_tax_id14", F.col("is_parent").alias("own_is_parent")
     )
     detail = members.select("member_no", tax_id14(F.col("tax_id")).alias("tax_id14"))
-    ranked = (
-        ranking.select("member_no", "position", "value")
-        .join(detail, "member_no", "left")
-        .join(own, "tax_id14", "left")
-        .withColumn(
-            "_key",
-            F.coalesce("parent_tax_id14", F.concat(F.lit("c"), F.col("member_no").cast("string"))),
-        )
+    ranked = lookup(
+        ranking.select("member_no", "position", "value").join(detail, "member_no", "left"),
+        own,
+        "tax_id14",
+    ).withColumn(
+        "_key",
+        F.coalesce("parent_tax_id14", F.concat(F.lit("c"), F.col("member_no").cast("string"))),
     )
     one_per_parent = best_per_key(
         ranked.drop("member_no"),
@@ -185,11 +185,14 @@ def roster_list(roster: DataFrame, members: DataFrame, customers: DataFrame) ->
     directory = customer_directory(customers).select(
         "tax_digits", "parent_tax_id14", "phone", "status"
     )
+    enrolled = lookup(
+        members.withColumn("tax_id14", tax_id14(F.col("tax_id"))),
+        active_roster(roster),
+        "tax_id14",
+        "left_semi",
+    ).withColumn("tax_digits", digits(F.col("tax_id")))
     listed = (
-        members.withColumn("tax_id14", tax_id14(F.col("tax_id")))
-        .join(active_roster(roster), "tax_id14", "left_semi")
-        .withColumn("tax_digits", digits(F.col("tax_id")))
-        .join(directory, "tax_digits", "left")
+        lookup(enrolled, directory, "tax_digits")
         .where(visible(F.col("status")))
         .withColumn("parent_key", F.coalesce("parent_tax_id14", "tax_id14"))
     )
@@ -259,7 +262,7 @@ def member_profile(
 
     # One row per group.
     accounts = visible_customers(keyed).select("group_id", "tax_id14").distinct()
-    in_group = accounts.join(facts, "tax_id14")
+    in_group = lookup(accounts, facts, "tax_id14")
     record_rank = F.struct(*newest, "tax_id14", "record")
     phone_rank = F.struct("has_mobile", low_first("customer_id").alias("low_id"), "phone")
     groups = (
@@ -278,10 +281,8 @@ def member_profile(
     )
 
     own = facts.select(F.col("tax_id14").alias("target"), "on_roster", "record", "phone")
-    joined = (
-        asked.join(home, "target", "left")
-        .join(own, "target", "left")
-        .join(groups, "group_id", "left")
+    joined = lookup(
+        asked.join(home, "target", "left").join(own, "target", "left"), groups, "group_id"
     )
     profile = joined.select(
         "target",

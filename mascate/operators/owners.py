@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mascate.functions.keys import digits
 from mascate.operators.dedupe import best_per_key, low_first
+from mascate.operators.lookup import lookup
 
 
 def sellers_by_number(sellers: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def latest_owner(history: DataFrame, sellers: DataFrame) -> DataFrame:
         ["since", "seller_no"],
     ).drop("since")
     names = sellers_by_number(sellers).select("seller_no", F.trim("name").alias("seller_name"))
-    return newest.join(names, "seller_no", "left").select("tax_digits", "seller_no", "seller_name")
+    return lookup(newest, names, "seller_no").select("tax_digits", "seller_no", "seller_name")
 
 
 def owned_ids(history: DataFrame, seller_no: int) -> DataFrame:
@@ -42,7 +43,7 @@ def owned_ids(history: DataFrame, seller_no: int) -> DataFrame:
 def owned_by_seller(df: DataFrame, key: str, history: DataFrame, seller_no: int) -> DataFrame:
     """Rows whose ``key`` (digits of a tax id) was ever owned by the seller."""
     owned = owned_ids(history, seller_no).withColumnRenamed("tax_digits", key)
-    return df.join(owned, key, "left_semi")
+    return lookup(df, owned, key, "left_semi")
 
 
 def flag_owned(
@@ -54,7 +55,7 @@ def flag_owned(
     owned = owned_ids(history, seller_no).select(
         F.col("tax_digits").alias(key), F.lit(True).alias(flag)
     )
-    return df.join(owned, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return lookup(df, owned, key).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def link_users_to_sellers(users: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -65,4 +66,4 @@ def link_users_to_sellers(users: DataFrame, sellers: DataFrame) -> DataFrame:
         F.col("name").alias("seller_name"),
         F.col("store").alias("seller_store"),
     )
-    return users.drop("password_md5").join(linked, "seller_no", "left")
+    return lookup(users.drop("password_md5"), linked, "seller_no")

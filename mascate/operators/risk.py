@@ -14,6 +14,7 @@ from mascate.operators.customers import customer_directory, customer_phone
 from mascate.operators.dedupe import best_per_key
 from mascate.operators.fallback import with_fallback
 from mascate.operators.ledger import net_ledger
+from mascate.operators.lookup import lookup
 from mascate.operators.owners import flag_owned, latest_owner
 
 # The least purchase volume and the group name of rows without one.
@@ -163,8 +164,11 @@ def active_customers(
         ["tax_id"],
     ).drop("tax_id")
     result = (
-        active.join(phones, "customer_id", "left")
-        .join(_shown_seller(history, sellers), "tax_digits", "left")
+        lookup(
+            active.join(phones, "customer_id", "left"),
+            _shown_seller(history, sellers),
+            "tax_digits",
+        )
         .select(
             "customer_id",
             F.trim("customer_name").alias("name"),
@@ -213,7 +217,7 @@ def record_risk(
         )
         .withColumn("tax_digits", digits(F.col("last.tax_id")))
     )
-    result = per_customer.join(_shown_seller(history, sellers), "tax_digits", "left").select(
+    result = lookup(per_customer, _shown_seller(history, sellers), "tax_digits").select(
         "customer_id",
         F.trim("last.customer_name").alias("name"),
         F.coalesce("owner_name", F.trim("last.seller_name")).alias("seller_name"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mascate.functions.text import login_key, password_digest
+from mascate.operators.lookup import lookup
 
 PASSWORD = "password_md5"
 # What a new user gets where the change gives nothing.
@@ -50,7 +51,7 @@ def _judge(users: DataFrame, changes: DataFrame) -> DataFrame:
     stored = changes.withColumn("login", login_key(F.col("login"))).withColumn(
         PASSWORD, password_digest(F.col("password"))
     )
-    known = users.select("user_id", F.col("login").alias("held_login"), F.lit(True).alias("known"))
+    known = users.select("user_id", F.lit(True).alias("known"))
     first_create = (
         stored.where(F.col("op") == "create")
         .groupBy("user_id")
@@ -58,8 +59,7 @@ def _judge(users: DataFrame, changes: DataFrame) -> DataFrame:
     )
     creates = F.col("op") == "create"
     judged = (
-        stored.join(known, "user_id", "left")
-        .join(first_create, "user_id", "left")
+        lookup(stored.join(known, "user_id", "left"), first_create, "user_id")
         .withColumn("known", F.coalesce("known", F.lit(False)))
         .withColumn(
             "reason",
@@ -68,21 +68,21 @@ def _judge(users: DataFrame, changes: DataFrame) -> DataFrame:
             ),
         )
     )
-    # A login is taken if another user holds it, or if an earlier change asks for it.
+    # A login is taken if another user holds it, or if an earlier change may have it.
+    holders = users.select("login", F.col("user_id").alias("holder"))
     asks = F.col("login").isNotNull() & F.col("reason").isNull()
+    held = F.col("holder").isNotNull() & (F.col("holder") != F.col("user_id"))
+    judged = judged.join(holders, "login", "left").withColumn(
+        "reason", F.when(asks & held, LOGIN_TAKEN).otherwise(F.col("reason"))
+    )
     claims = (
         judged.where(asks)
         .groupBy("login")
         .agg(F.min(F.struct("seq", "user_id")).alias("first_claim"))
     )
-    holders = users.select("login", F.col("user_id").alias("holder"))
-    taken = (F.col("holder").isNotNull() & (F.col("holder") != F.col("user_id"))) | (
-        F.col("first_claim.user_id") != F.col("user_id")
-    )
-    return (
-        judged.join(claims, "login", "left")
-        .join(holders, "login", "left")
-        .withColumn("reason", F.when(asks & taken, LOGIN_TAKEN).otherwise(F.col("reason")))
+    late = asks & (F.col("first_claim.user_id") != F.col("user_id"))
+    return lookup(judged, claims, "login").withColumn(
+        "reason", F.when(late, LOGIN_TAKEN).otherwise(F.col("reason"))
     )
 
 
