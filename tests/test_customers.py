@@ -66,6 +66,12 @@ def test_latest_owner(make):
         dict(tax_id="3", seller_no=1, since=early),
         dict(tax_id="3", seller_no=2, since=early),
         dict(tax_id="4", seller_no=77, since=early),
+        dict(tax_id="5", seller_no=None, since=late),
+        dict(tax_id="5", seller_no=1, since=early),
+        dict(tax_id="6", seller_no=None, since=None),
+        dict(tax_id="6", seller_no=-2147483648, since=None),
+        dict(tax_id="7", seller_no=2147483647, since=datetime(1900, 1, 1, 0, 0, 0, 1)),
+        dict(tax_id="7", seller_no=1, since=datetime(1900, 1, 1, 0, 0, 0, 2)),
     ])
     sellers = make("sellers", [
         dict(seller_id=12, seller_no=2, name="Second"),
@@ -74,14 +80,15 @@ def test_latest_owner(make):
     ])
     assert rows(owners.latest_owner(history, sellers)) == sorted([
         ("1", 2, "First"), ("01", 1, "One"), ("2", 1, "One"), ("3", 2, "First"), ("4", 77, None),
+        ("5", None, None), ("6", -2147483648, None), ("7", 1, "One"),
     ], key=repr)
     shuffled = history.orderBy(F.rand(3))
     assert rows(owners.latest_owner(shuffled, sellers)) == rows(owners.latest_owner(history, sellers))
     # The filter goes by any owner ever, the display by the latest one.
     docs = history.select(F.col("tax_id").alias("k")).distinct()
-    assert rows(owners.owned_by_seller(docs, "k", history, 1)) == [("1",), ("2",), ("3",)]
+    assert rows(owners.owned_by_seller(docs, "k", history, 1)) == [("1",), ("2",), ("3",), ("5",), ("7",)]
     flagged = owners.flag_owned(docs, "k", history, 1)
-    assert rows(flagged.where("owned").drop("owned")) == [("1",), ("2",), ("3",)]
+    assert rows(flagged.where("owned").drop("owned")) == [("1",), ("2",), ("3",), ("5",), ("7",)]
     assert flagged.count() == docs.count()
 
 
