@@ -19,7 +19,7 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     This is one aggregate with a partial step before the shuffle, so a key that holds a large part
     of the rows leaves each map task as a single row. Equal input gives equal output in any order.
     """
-    rank = [(F.col(c) if isinstance(c, str) else c).alias(f"_{i}") for i, c in enumerate(order)]
-    rest = [c for c in df.columns if c not in keys]
+    rank = [c if isinstance(c, str) else c.alias(f"_{i}") for i, c in enumerate(order)]
+    rest = [c for c in df.columns if c not in (*keys, *(r for r in rank if isinstance(r, str)))]
     best = df.groupBy(*keys).agg(F.max(F.struct(*rank, *rest)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
+    return best.select(*[F.col(c if c in keys else f"_best.{c}").alias(c) for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mascate.functions.calendar import first_of_month
@@ -122,35 +122,48 @@ def race_pacing(
 
 
 def period_ranks(goals: DataFrame, last_period: date) -> DataFrame:
-    """Periods with a goal up to ``last_period``, numbered from 1: ``period, goal, rank``.
+    """Periods with a goal up to ``last_period``, numbered from 1: ``period, goal, rank, is_last``.
 
     One row per calendar month (or day) is enforced first, so the window without a partition sorts
     a few thousand rows at most, whatever the size of the facts.
     """
+    in_order = Window.orderBy("period")
     return (
         goals.where(F.col("period") <= F.lit(last_period))
         .groupBy("period")
         .agg(F.max("goal").alias("goal"))
-        .withColumn("rank", F.row_number().over(Window.orderBy("period")))
+        .withColumn("rank", F.row_number().over(in_order))
+        .withColumn("is_last", F.lead("period").over(in_order).isNull())
     )
 
 
-def islands(df: DataFrame, keys: list[str], rank: str, period: str) -> DataFrame:
-    """Runs of consecutive ranks per key: ``first_period, last_period, last_rank, length``.
+def islands(df: DataFrame, keys: list[str], rank: str, *values: Column) -> DataFrame:
+    """Runs of consecutive ranks per key: the aggregates ``values`` over each run.
 
-    ``period`` must rise with ``rank``. Both steps use the partitioning of ``keys``: one shuffle.
+    Both steps use the partitioning of ``keys``: one shuffle.
     """
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(rank))
-    return (
-        df.withColumn("_run", F.col(rank) - place)
-        .groupBy(*keys, "_run")
-        .agg(
-            F.min(period).alias("first_period"),
-            F.max(period).alias("last_period"),
-            F.max(rank).alias("last_rank"),
-            F.count("*").cast("int").alias("length"),
-        )
-        .drop("_run")
+    runs = df.withColumn("_run", F.col(rank) - place)
+    return runs.groupBy(*keys, "_run").agg(*values).drop("_run")
+
+
+def _goal_runs(purchases: DataFrame, goals: DataFrame, last_period: date) -> DataFrame:
+    """The rows of :func:`goal_islands` with the total and goal of each run's last period."""
+    hits = (
+        purchases.join(F.broadcast(period_ranks(goals, last_period)), "period")
+        .where(F.col("total") >= F.col("goal"))
+        .select("member_no", "rank", "period", "total", "goal", "is_last")
+    )
+    return islands(
+        hits,
+        ["member_no"],
+        "rank",
+        F.min("period").alias("first_period"),
+        F.max("period").alias("last_period"),
+        F.count("*").cast("int").alias("length"),
+        F.max("is_last").alias("is_current"),
+        F.max_by("total", "rank").alias("last_total"),
+        F.max_by("goal", "rank").alias("last_goal"),
     )
 
 
@@ -163,20 +176,7 @@ def goal_islands(purchases: DataFrame, goals: DataFrame, last_period: date) -> D
 
     The ranked goals are broadcast: they hold one row per calendar period.
     """
-    ranks = period_ranks(goals, last_period)
-    hits = (
-        purchases.join(F.broadcast(ranks), "period")
-        .where(F.col("total") >= F.col("goal"))
-        .select("member_no", "rank", "period")
-    )
-    last = ranks.agg(F.max("rank").alias("last")).scalar()
-    return islands(hits, ["member_no"], "rank", "period").select(
-        "member_no",
-        "first_period",
-        "last_period",
-        "length",
-        (F.col("last_rank") == last).alias("is_current"),
-    )
+    return _goal_runs(purchases, goals, last_period).drop("last_total", "last_goal")
 
 
 def goal_streaks(
@@ -200,27 +200,16 @@ def goal_streaks(
     last_period = first_of_month(as_of) if unit == "month" else as_of
     lengths = STREAK_LENGTHS if stage is None else (stage,)
 
-    runs = goal_islands(purchases, goals, last_period).where(
+    # A current run ends at the last goal period: its last goal and total are the current ones.
+    runs = _goal_runs(purchases, goals, last_period).where(
         F.col("is_current") & F.col("length").isin(*lengths)
     )
-    # All current runs end at the last goal period: its goal is one value, and its purchases are
-    # one row per member.
-    past = goals.where(F.col("period") <= F.lit(last_period))
-    goal = past.agg(F.max_by("goal", "period").alias("goal")).scalar()
-    bought = purchases.where(
-        F.col("period") == past.agg(F.max("period").alias("period")).scalar()
-    ).select("member_no", F.col("total").alias("bought"))
-    people = _with_member(
-        runs.withColumn("goal", goal).join(bought, "member_no", "left"),
-        members,
-        customers,
-        history,
-        sellers,
-    ).where(F.coalesce("is_parent", F.lit(True)))
+    people = _with_member(runs, members, customers, history, sellers).where(
+        F.coalesce("is_parent", F.lit(True))
+    )
     people = flag_owned(people, "tax_id14", history, seller_no)
     people = with_fallback(people, "owned") if seller_no is not None else people.drop("owned")
-    zero = F.lit(0).cast("decimal(12,2)")
-    spent = F.coalesce("bought", zero)
+    goal, bought = F.col("last_goal"), F.col("last_total")
     result = people.select(
         "member_no",
         "name",
@@ -229,9 +218,9 @@ def goal_streaks(
         "seller_no",
         "seller_name",
         "length",
-        F.round("goal", 2).alias("goal"),
-        F.round(spent, 2).alias("bought"),
-        F.greatest(zero, F.round(F.col("goal") - spent, 2)).alias("to_goal"),
+        F.round(goal, 2).alias("goal"),
+        F.round(bought, 2).alias("bought"),
+        F.greatest(F.lit(0).cast("decimal(12,2)"), F.round(goal - bought, 2)).alias("to_goal"),
     )
     if ordered:
         result = result.orderBy(

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mascate.functions.calendar import DateWindow, first_of_month
+
 _MOVEMENT = (
     "store INT, document DECIMAL(9,0), date DATE, seller_no INT, tax_id STRING, "
     "total DECIMAL(10,2), cancelled STRING"
@@ -119,10 +121,10 @@ def write_facts(df: DataFrame, path: str) -> None:
     )
 
 
-def read_facts(spark: SparkSession, table: str, path: str, window) -> DataFrame:
+def read_facts(spark: SparkSession, table: str, path: str, window: DateWindow) -> DataFrame:
     """The days of ``window`` of a table stored by :func:`write_facts`; other months are not read."""
-    start = window.start.replace(day=1) if window.start is not None else None
-    months = type(window)(start, window.stop)
+    start = first_of_month(window.start) if window.start is not None else None
+    months = DateWindow(start, window.stop)
     stored = spark.read.parquet(path)
     return conform(
         stored.where(months.holds(F.col("month")) & window.holds(F.col("date"))), table
