@@ -7,13 +7,21 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mascate.functions.keys import digits, has_number, parent_tax_id14, phone_of, tax_id14, tax_id14_uncut, visible
+from mascate.functions.keys import (
+    digits,
+    has_number,
+    parent_tax_id14,
+    phone_of,
+    tax_id14,
+    tax_id14_uncut,
+    visible,
+)
 from mascate.functions.text import date_text
 from mascate.operators.customers import customer_directory, customer_phone, visible_customers
 from mascate.operators.dedupe import best_per_key, low_first
 from mascate.operators.fallback import either
 from mascate.operators.lookup import lookup
-from mascate.operators.owners import latest_owner, owned_by_seller, owned_ids
+from mascate.operators.owners import latest_owner, owned_by_seller
 
 # How many members the ranking shows, and the texts of a member's standing.
 TOP_SIZE = 30

@@ -85,15 +85,10 @@ def deactivation_risk(
             F.struct(*sums(F.lit(True))).alias("all"),
             F.max("owned").alias("any_owned"),
         )
-        agg = both.select(
-            "parent_tax_id",
-            F.inline(
-                F.array(
-                    F.struct("mine.total", "mine.month", F.col("any_owned").alias("owned"), F.col("any_owned").alias("use")),
-                    F.struct("all.total", "all.month", F.lit(False).alias("owned"), F.lit(True).alias("use")),
-                )
-            ),
-        ).where("use").drop("use")
+        mine = F.struct("mine.total", "mine.month", F.lit(True).alias("owned"))
+        every = F.struct("all.total", "all.month", F.lit(False).alias("owned"))
+        answers = F.when(F.col("any_owned"), F.array(mine, every)).otherwise(F.array(every))
+        agg = both.select("parent_tax_id", F.inline(answers))
 
     listed = directory.select(F.col("tax_digits").alias("parent_tax_id"), "name", "phone", "status")
     owner = latest_owner(history, sellers).withColumnRenamed("tax_digits", "parent_tax_id")

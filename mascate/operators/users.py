@@ -92,9 +92,9 @@ def apply_user_changes(users: DataFrame, changes: DataFrame, at: datetime) -> Us
     ``changes`` has ``seq`` (order of the changes, unique), ``op`` (``create`` or ``update``),
     ``user_id``, ``login``, ``password``, the plain fields, ``created_by`` and ``changed_by``; NULL
     means "not given". Logins are stripped and upper-cased, passwords stored as MD5. Several
-    updates of one user are folded, the last value given wins. A change is rejected if its user is unknown
-    (update) or exists (create), or if its login belongs to another user of the old snapshot or is
-    asked for by an earlier change.
+    updates of one user are folded, the last value given wins. A change is rejected if its user is
+    unknown (update) or exists (create), or if its login belongs to another user of the old
+    snapshot or is asked for by an earlier change.
 
     Nothing is written: the caller stores ``users`` as a new snapshot, never over the one it read.
     """

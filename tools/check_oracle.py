@@ -28,10 +28,9 @@ def canonical(value):
 
 
 def rows_of(columns, rows):
+    """Rows with columns in name order, sorted, so that neither order matters."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(canonical(r[i]) for i in order) for r in rows) if not any(
-        None in r for r in rows
-    ) else sorted((tuple(canonical(r[i]) for i in order) for r in rows), key=repr)
+    return sorted((tuple(canonical(r[i]) for i in order) for r in rows), key=repr)
 
 
 def connect(sf_dir):
