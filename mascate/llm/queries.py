@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mascate.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from mascate.llm import bpe, digest, line_dedup, mixing, pii, quality_bayes, quality_rules, simhash, toxicity, url_filter
 from mascate.llm.frames import sha256_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,26 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.withColumn("score", F.round("score", 6))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = [kind.name for kind in pii.KINDS if kind.always]
+    kinds = F.col("spans.kind")
+    counts = {f"n_{k}": F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in base}
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[value.cast("long").alias(name) for name, value in counts.items()],
+        sha256_hex(pii.joined(of_base)).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+        F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string"))).alias("scores"),
+    )
+
+
 def bpe_digests(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, the token ids, and the digests of the ids and of the decoded text."""
     path = public_tokenizers.path(TOKENIZER)
@@ -39,6 +59,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), ["doc_id"]).drop("ids")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = digest.compare_with_next(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("digest")).alias("fingerprint"),
+        F.lower(F.hex("edited_digest")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -59,6 +96,11 @@ def op8_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.policy_report(quality_rules.ledger(table(spark, sf_dir, "documents"), ["doc_id"]))
 
 
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("evidence", "site_rate", "score")})
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     chance = F.round("probability", 9).alias("probability")
@@ -67,10 +109,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op8_rule_ablation": op8_rule_ablation,
+    "op9_quality_bayes": op9_quality_bayes,
     "op10_mixing": op10_mixing,
 }
 
