@@ -12,13 +12,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mascate.llm.frames import map_texts
+from mascate.llm.frames import SLICE, map_texts
 
 #: Fixed values of byte-level tokenizers: the pattern that splits a text into words.
 WORDS = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 SPACED = re.compile(r" (?=\S)").split
 #: Words and pairs remembered by a task; what is forgotten is worked out again.
-MEMORY = 1 << 18
+MEMORY = 3 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,6 +28,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+def labels_of(vocabulary: dict[str, int], special: dict[str, int]) -> list[bytes]:
+    """The bytes that each token number stands for."""
+    letters = byte_letters()
+    labels = [b""] * (1 + max([*vocabulary.values(), *special.values()]))
+    for token, number in vocabulary.items():
+        labels[number] = token.encode() if token in special else bytes(letters[c] for c in token)
+    for token, number in special.items():
+        labels[number] = token.encode()
+    return labels
+
+
+def emitted(labels: list[bytes], packed: bytes) -> str:
+    """The labels of the arcs that packed token numbers stand for."""
+    return b"".join([labels[n] for n in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+
+
 class Memory(dict):
     """A dictionary that works out what it lacks and starts anew when it is full."""
 
@@ -56,24 +72,14 @@ class Automaton:
     """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
-        letters = byte_letters()
-        spelled = {token: bytes(letters[c] for c in token) for token in vocabulary if token not in special}
-        size = 1 + max([*vocabulary.values(), *special.values()])
-        self.labels = [b""] * size
-        for token, label in spelled.items():
-            self.labels[vocabulary[token]] = label
-        for token, number in special.items():
-            self.labels[number] = token.encode()
+        self.labels = labels_of(vocabulary, special)
+        size = len(self.labels)
         self.left, self.right, self.time = [-1] * size, [-1] * size, [-1] * size
         self.cut: dict[tuple[int, int], int] = {}
         for n, (u, v) in enumerate(merges):
             self._gadget(n, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        made = {i for i, n in enumerate(self.time) if n >= 0}
-        self.numbers = {
-            label: vocabulary[token]
-            for token, label in spelled.items()
-            if len(label) == 1 or vocabulary[token] in made
-        }
+        plain = [n for token, n in vocabulary.items() if token not in special]
+        self.numbers = {self.labels[n]: n for n in plain if self.time[n] >= 0 or len(self.labels[n]) == 1}
         self.longest = max(map(len, self.numbers))
         self.transitions = Memory(lambda arc: self.follows(arc >> 32, arc & 0xFFFFFFFF))
         self.special = special
@@ -151,8 +157,7 @@ class Automaton:
         return b"".join(packed)
 
     def decode(self, packed: bytes) -> str:
-        labels = self.labels
-        return b"".join([labels[n] for n in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+        return emitted(self.labels, packed)
 
 
 def read_tokenizer(path: str) -> dict:
@@ -166,38 +171,46 @@ def read_tokenizer(path: str) -> dict:
 
 
 def compiled(tokenizer: dict) -> Automaton:
-    """The tokenizer's automaton; a worker compiles it once and keeps it beside what was broadcast."""
+    """The tokenizer's automaton; a worker compiles it once and keeps it in place of what was broadcast."""
     if "automaton" not in tokenizer:
-        tokenizer["automaton"] = Automaton(*tokenizer["parts"])
+        tokenizer["automaton"] = Automaton(*tokenizer.pop("parts"))
     return tokenizer["automaton"]
 
 
-def encode(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text", decoded: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``ids``: the text's tokens as packed little-endian 32-bit integers.
 
     ``tokenizer`` is the path of a byte-level BPE file on the driver; its content, of fixed size,
     is broadcast. The strings of its special tokens are read as these tokens. NULL and empty texts
     have no ids; a word of any length costs time in proportion. Rows are never joined or moved.
+    ``decoded`` names a column for what the ids decode to, in the same pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
     def start():
         automaton = compiled(shared.value)
-        return lambda texts: [pa.array([automaton.encode(t) for t in texts], pa.binary())]
 
-    return map_texts(docs, keep, text, start, "ids binary")
+        def work(texts: list[str]) -> list[pa.Array]:
+            ids = [automaton.encode(t) for t in texts]
+            back = [pa.array([automaton.decode(packed) for packed in ids], pa.string())] if decoded else []
+            return [pa.array(ids, pa.binary()), *back]
+
+        return work
+
+    return map_texts(docs, keep, text, start, "ids binary" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns and ``text``, decoded from ``ids``; bytes that are no UTF-8 become U+FFFD, NULL stays."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+    vocabulary, _, special = read_tokenizer(tokenizer)["parts"]
+    shared = encoded.sparkSession.sparkContext.broadcast(labels_of(vocabulary, special))
     schema = StructType([*encoded.schema.fields, StructField(text, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = compiled(shared.value)
-        for batch in batches:
+        labels = shared.value
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             packed = batch.column(ids).to_pylist()
-            texts = [None if p is None else automaton.decode(p) for p in packed]
+            texts = [None if p is None else emitted(labels, p) for p in packed]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Texts that a task has as Python strings at a time.
+SLICE = 512
 #: The characters that part words, as a class of a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -68,7 +70,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             values = batch.column(column)
             if place is not None:
                 values = pc.struct_field(values, [place])

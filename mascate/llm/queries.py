@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mascate.llm import bpe, digest, line_dedup, mixing, pii, quality_bayes, quality_rules, simhash, toxicity, url_filter
 from mascate.llm.frames import sha256_hex
+from mascate.llm.oracles import ORACLES as ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -44,9 +45,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, the token ids, and the digests of the ids and of the decoded text."""
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs, path, keep)
-    return bpe.decode(encoded, path).select(
+    encoded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), keep, decoded="decoded")
+    return encoded.select(
         *keep,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         sha256_hex(F.col("ids")).alias("ids_sha256"),
@@ -120,5 +120,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_bayes": op9_quality_bayes,
     "op10_mixing": op10_mixing,
 }
-
-ORACLES: dict[str, str] = {}
