@@ -1,0 +1,74 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from mascate.llm import bpe, queries
+
+from .fixtures import ODD, empty, odd
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return bpe.compiled(bpe.read_tokenizer(PATH))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def expected(library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    return np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)
+
+
+def test_same_ids_as_the_library(automaton, library):
+    rng = random.Random(5)
+    alphabets = ["ab", "aA1 '", "the  \n\t", "0123456789 ", "éàü ß", "!#$*&|- ", "日本語 のA", "\x00\x1c   a"]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(60))) for a in alphabets for _ in range(150)]
+    texts += ["<|endoftext|>", "a<|endoftext|> b<|endoftext|>", "<|endoftext", "aaaa" * 500, " " * 300 + "x"]
+    for text in texts:
+        assert (automaton.encode(text), automaton.decode(automaton.encode(text))) == expected(library, text), text
+
+
+def test_every_code_point(automaton, library):
+    for start in range(0, 0x110000, 977):
+        letters = [chr(c) for c in range(start, min(start + 40, 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b {c}{c} 1" for c in letters)
+        assert automaton.encode(text) == expected(library, text)[0]
+
+
+def test_transitions_are_those_of_pairs(automaton, library):
+    """A token may follow another exactly if the library cuts their joined bytes into these two."""
+    rng = random.Random(7)
+    letters = {b: c for c, b in bpe.byte_letters().items()}
+    for _ in range(3000):
+        a, b = rng.randrange(256, 50256), rng.randrange(50256)
+        ids = library.model.tokenize("".join(letters[x] for x in automaton.labels[a] + automaton.labels[b]))
+        assert automaton.follows(a, b) == ([t.id for t in ids] == [a, b])
+
+
+def test_odd_rows(spark, library):
+    encoded = bpe.encode(odd(spark), PATH, ["doc_id", "row"], decoded="decoded")
+    got = sorted(((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in encoded.collect()), key=repr)
+    assert got == sorted(((r[0], *expected(library, r[1] or "")) for r in ODD), key=repr)
+    back = bpe.decode(encoded.select("doc_id", "ids"), PATH)
+    assert sorted((r["decoded"] for r in back.collect())) == sorted(d for _, _, d in got)
+
+
+def test_digests(spark, library):
+    row = queries.bpe_digests(odd(spark).where("doc_id = 1"), ["doc_id"]).first()
+    ids, decoded = expected(library, ODD[0][1])
+    assert row["n_tokens"] == len(ids) // 4
+    assert row["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+    assert row["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_empty_table(spark):
+    assert bpe.encode(empty(spark), PATH, ["doc_id"]).count() == 0

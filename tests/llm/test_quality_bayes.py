@@ -1,0 +1,62 @@
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from mascate.llm import quality_bayes
+
+from .fixtures import ODD, empty, odd, table
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def corpus():
+    rng = random.Random(6)
+    rows, labels = [], []
+    for n in range(800):
+        good = rng.random() < (0.95 if n % 4 else 0.3)
+        words = [f"word{rng.randrange(500)}" for _ in range(60)] if good else ["SPAM!!", "buy###"] * 20
+        rows.append((n, " ".join(words), "en" if n % 3 else "de", f"s{n % 4}", 0))
+        if n % 5:
+            labels.append((n, int(good), 0))
+    return rows, labels
+
+
+def test_accuracy_and_shrinkage(spark):
+    rows, labels = corpus()
+    got = {r["doc_id"]: r for r in quality_bayes.classify(table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    assert len(got) == len(rows)
+    held = [(good, got[n]["kept"]) for n, good, _ in labels if got[n]["held_out"]]
+    assert sum(bool(good) == kept for good, kept in held) / len(held) > 0.97
+    rates = {}
+    for n, r in got.items():
+        if n % 5 == 0:
+            rates.setdefault(r["host"], set()).add(round(r["site_rate"], 9))
+    assert max(rates["s0"]) < min(rates["s1"])
+
+
+def test_site_rates_match_plain_sums(spark):
+    rows, labels = corpus()
+    classified = quality_bayes.classify(table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    marks = {n: good for n, good, _ in labels}
+    own = {r["doc_id"]: marks[r["doc_id"]] for r in classified if r["doc_id"] in marks and not r["held_out"]}
+    site = {r[0]: (r[3], r[2]) for r in rows}
+    for r in classified[:50]:
+        host, path = site[r["doc_id"]]
+        mine = [g for n, g in own.items() if site[n] == (host, path) and n != r["doc_id"]]
+        of_host = [g for n, g in own.items() if site[n][0] == host]
+        # between what the path shows by itself and what the host shows
+        if mine:
+            low, high = sorted((sum(mine) / len(mine), sum(of_host) / len(of_host)))
+            assert low - 0.06 <= r["site_rate"] <= high + 0.06
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-r["evidence"]) * (1 - r["site_rate"]) / r["site_rate"]), rel_tol=1e-6)
+
+
+def test_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 0), (None, 1, 0), (4, None, 0), (99, 1, 0)], LABELS)
+    got = quality_bayes.classify(odd(spark), labels).collect()
+    assert len(got) == len(ODD)
+    assert all(0 < r["score"] < 1 for r in got)
+    none = labels.where(F.lit(False))
+    assert {r["site_rate"] for r in quality_bayes.classify(odd(spark), none).collect()} == {0.5}
+    assert quality_bayes.classify(empty(spark), labels).count() == 0

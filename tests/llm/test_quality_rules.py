@@ -1,0 +1,60 @@
+import random
+
+from mascate.llm import quality_rules
+
+from .fixtures import ODD, empty, odd, table
+
+
+def brute(text):
+    text = text or ""
+    words = text.encode().split()
+    lines = [line for line in text.encode().split(b"\n") if line.split()]
+    covered = set()
+    for n in range(len(words) - 4):
+        if any(words[n : n + 5] == words[m : m + 5] for m in range(len(words) - 4) if m != n):
+            covered |= set(range(n, n + 5))
+    return (
+        len(words),
+        sum(c not in " \t\n\x0b\x0c\r" for c in text),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines),
+        len(lines) - len(set(lines)),
+        len(covered),
+        sum("A" <= c <= "Z" for c in text),
+        sum("a" <= c <= "z" for c in text),
+    )
+
+
+def test_measurements_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice(["a ", "b ", "cD ", "é ", "\n", "#", "a b ", "\x0b"]) for _ in range(rng.randrange(80)))
+        assert quality_rules.measure(text) == brute(text), repr(text)
+
+
+def test_odd_rows(spark):
+    got = quality_rules.ledger(odd(spark), ["doc_id"]).collect()
+    assert len(got) == len(ODD)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[3]["n_words"] == by_id[4]["n_words"] == by_id[5]["n_words"] == 0
+    assert by_id[6]["n_repeat_words"] == 30_000
+    assert by_id[3]["failed"] & quality_rules.mask(("few_words",))
+
+
+def test_policies_and_ablation(spark):
+    texts = ["w" + " ".join(f"x{n}" for n in range(20)), "few words", "SHOUT " + " ".join(f"LOUD{n}" for n in range(20)), None]
+    docs = table(spark, [(n, t, "en", "a", 0) for n, t in enumerate(texts)])
+    judged = quality_rules.ledger(docs, ["doc_id"])
+    report = {(r["policy"], r["rule"]): (r["rejected"], r["only"]) for r in quality_rules.policy_report(judged).collect()}
+    assert report["base", "few_words"] == (2, 2)
+    assert report["v2", "capitals"] == (1, 1)
+    assert report["v2", "symbols"] == (0, 0)
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert quality_rules.keep_good(odd(spark)).columns == odd(spark).columns
+
+
+def test_empty_table(spark):
+    assert quality_rules.ledger(empty(spark), ["doc_id"]).count() == 0
+    assert quality_rules.policy_report(quality_rules.ledger(empty(spark), ["doc_id"])).count() == 0
