@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def with_fallback(df: DataFrame, flag: str) -> DataFrame:
     """Rows whose ``flag`` is true; if the whole frame has none, every row.
 
-    The test for "none" is a scalar subquery over the same frame, whose shuffles Spark reuses.
+    The test for "none" is a scalar subquery over the same frame. Spark reuses those of its
+    shuffles that carry the same columns in both uses; a shuffle from which the test needs fewer
+    columns is run a second time.
     """
     any_flagged = df.agg(F.coalesce(F.max(flag), F.lit(False)).alias(flag)).scalar()
     return df.where(F.col(flag) | ~any_flagged).drop(flag)

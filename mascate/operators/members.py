@@ -19,15 +19,18 @@ from mascate.functions.keys import (
 from mascate.functions.text import date_text
 from mascate.operators.customers import customer_directory, customer_phone, visible_customers
 from mascate.operators.dedupe import best_per_key, low_first
-from mascate.operators.fallback import either
+from mascate.operators.fallback import with_fallback
 from mascate.operators.lookup import lookup
-from mascate.operators.owners import latest_owner, owned_by_seller
+from mascate.operators.owners import flag_owned, latest_owner
 
 # How many members the ranking shows, and the texts of a member's standing.
 TOP_SIZE = 30
 ACTIVE, FORMER, NEVER = "ativa", "ja_esteve", "nunca"
-
-BROADCAST_ROWS = 10_000
+MESSAGES = {
+    ACTIVE: "Ativa na Liga.",
+    FORMER: "Ja esteve na Liga (nao esta ativa no momento).",
+    NEVER: "Cliente nao esta na Liga (sem cadastro FashionStar).",
+}
 
 
 def active_roster(roster: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def top_members(
     """The first members of the ranking, one per parent account; a seller marks, never filters.
 
     Owners are looked up for the listed parents only: the ownership history is cut down to them
-    before it is reduced to the latest owner. The list is broadcast for that up to 10,000 rows.
+    before it is reduced to the latest owner.
     """
     directory = customer_directory(customers)
     own = directory.select(
@@ -91,8 +94,6 @@ def top_members(
         .limit(size)
     )
     wanted = top.select(F.col("tax_id").alias("_tax"))
-    if size <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     near = history.withColumn("_tax", digits(F.col("tax_id"))).join(wanted, "_tax", "left_semi")
     owner = latest_owner(near, sellers).withColumnRenamed("tax_digits", "tax_id")
     mine = F.lit(False) if seller_no is None else F.col("seller_no") == seller_no
@@ -149,10 +150,16 @@ def birthdays(
     if seller_no is None:
         parents = this_month(accounts)
     else:
-        parents = either(
-            this_month(owned_by_seller(accounts, "tax_digits", history, seller_no)),
-            this_month(accounts),
+        # Both answers in one pass: the first account the seller owns, and the first of all.
+        flagged = flag_owned(accounts, "tax_digits", history, seller_no)
+        first = F.struct(low_first("customer_id").alias("low_id"), *[c for c in accounts.columns if c != "parent_tax_id"])
+        both = flagged.groupBy("parent_tax_id").agg(
+            F.max(F.when(F.col("owned"), first)).alias("mine"), F.max(first).alias("every")
         )
+        mine, every = (F.struct(F.col(c).alias("row"), F.lit(c == "mine").alias("owned")) for c in ("mine", "every"))
+        answers = F.when(F.col("mine").isNotNull(), F.array(mine, every)).otherwise(F.array(every))
+        chosen = both.select("parent_tax_id", F.inline(answers)).select("parent_tax_id", "row.*", "owned")
+        parents = with_fallback(chosen.where(F.month("parent_birth") == as_of.month), "owned").drop("low_id")
     owner = latest_owner(history, sellers).withColumnRenamed("tax_digits", "_parent14")
     born = F.col("parent_birth")
     opening_year = F.when(F.month(born) >= as_of.month, as_of.year).otherwise(as_of.year + 1)
@@ -185,7 +192,9 @@ def birthdays(
 
 
 def _number(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0).cast("double"))
+    """A figure as a double; none and "not a number" are zero."""
+    zero = F.lit(0).cast("double")
+    return F.coalesce(F.nanvl(F.col(name).cast("double"), zero), zero)
 
 
 def roster_list(roster: DataFrame, members: DataFrame, customers: DataFrame) -> DataFrame:
@@ -314,6 +323,10 @@ def member_profile(
         "phone",
         "in_league",
         status.alias("status"),
+        F.when(status == ACTIVE, MESSAGES[ACTIVE])
+        .when(status == FORMER, MESSAGES[FORMER])
+        .otherwise(MESSAGES[NEVER])
+        .alias("message"),
         F.coalesce("r.stars", F.lit(0)).alias("stars"),
         F.col("r.plan").alias("plan"),
         points.alias("points"),

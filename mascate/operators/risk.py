@@ -230,7 +230,7 @@ def record_risk(
 
 
 def record_risk_summary(risk: DataFrame) -> DataFrame:
-    """Totals of :func:`record_risk` per seller, per store and overall, in one aggregation."""
+    """Totals of :func:`record_risk` per seller, per store and overall; an empty report has zeros."""
     named = risk.select(
         F.coalesce("seller_name", F.lit(NO_GROUP)).alias("seller"),
         F.coalesce(F.col("store").cast("string"), F.lit(NO_GROUP)).alias("shop"),
@@ -239,8 +239,8 @@ def record_risk_summary(risk: DataFrame) -> DataFrame:
         "realised",
     )
     by = F.grouping_id()
-    return (
-        named.groupingSets([["seller"], ["shop"], []], "seller", "shop")
+    groups = (
+        named.groupingSets([["seller"], ["shop"]], "seller", "shop")
         .agg(
             by.alias("by"),
             F.count("*").alias("customers"),
@@ -249,11 +249,8 @@ def record_risk_summary(risk: DataFrame) -> DataFrame:
             F.coalesce(F.sum("realised"), F.lit(0)).alias("realised"),
         )
         .select(
-            F.when(F.col("by") == 1, "seller")
-            .when(F.col("by") == 2, "store")
-            .otherwise("total")
-            .alias("grouped_by"),
-            F.coalesce("seller", "shop", F.lit("")).alias("group_name"),
+            F.when(F.col("by") == 1, "seller").otherwise("store").alias("grouped_by"),
+            F.coalesce("seller", "shop").alias("group_name"),
             "customers",
             "reached",
             "needed",
@@ -262,20 +259,26 @@ def record_risk_summary(risk: DataFrame) -> DataFrame:
     )
 
 
+    total = groups.where(F.col("grouped_by") == "seller").agg(
+        F.lit("total").alias("grouped_by"),
+        F.lit("").alias("group_name"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast(groups.schema[c].dataType).alias(c) for c in groups.columns[2:]],
+    )
+    return groups.unionByName(total)
+
+
 def record_risk_report(risk: DataFrame) -> dict[str, DataFrame]:
-    """The report as named frames: totals, by seller, by store and the customers."""
+    """The report as named frames: totals, by seller, by store and the customers.
+
+    Each frame is lazy; a caller that shows all of them may persist ``risk`` first.
+    """
     summary = record_risk_summary(risk)
 
     def part(kind: str) -> DataFrame:
         return summary.where(F.col("grouped_by") == kind).drop("grouped_by")
 
-    # Summed from the seller groups, so that an empty report still has its one row of zeros.
-    totals = [
-        F.coalesce(F.sum(name), F.lit(0)).alias(name)
-        for name in ("customers", "reached", "needed", "realised")
-    ]
     return {
-        "summary": part("seller").agg(*totals),
+        "summary": part("total").drop("group_name"),
         "by_seller": part("seller"),
         "by_store": part("store"),
         "customers": risk,

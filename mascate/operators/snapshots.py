@@ -1,4 +1,7 @@
-"""Month snapshots of the record-risk report: opened once, closed once, never rewritten."""
+"""Month snapshots of the record-risk report: opened once, closed once, never rewritten.
+
+The functions say which rows a month has; ``sources.tables.freeze_month`` stores them once.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mascate.functions.calendar import first_of_month
+from mascate.operators.risk import record_risk_summary
 
 
 def open_month(risk: DataFrame, month: date, opened: DataFrame | None = None) -> DataFrame:
@@ -57,6 +61,22 @@ def close_month(
     return rows if closed is None else _unless_present(rows, closed, month)
 
 
+def current_month(opened: DataFrame, risk: DataFrame, month: date) -> DataFrame:
+    """The opened month as it stands today: the customers of its start with what they bought since."""
+    return close_month(opened, risk, month)
+
+
+def month_groups(rows: DataFrame) -> DataFrame:
+    """The customers of one month, of :func:`current_month` or closed, per seller, per store and in all."""
+    return record_risk_summary(rows)
+
+
+def oldest_open_month(opened_months: DataFrame, closed_months: DataFrame) -> date | None:
+    """The first month (column ``month``) that is opened and not closed; one date reaches the driver."""
+    left = opened_months.select("month").join(closed_months.select("month"), "month", "left_anti")
+    return left.agg(F.min("month")).first()[0]
+
+
 def _unless_present(rows: DataFrame, history: DataFrame, month: date) -> DataFrame:
     present = (
         history.where(F.col("month") == F.lit(first_of_month(month)))

@@ -19,6 +19,7 @@ DEFAULT_EMAIL, DEFAULT_ACTIVE = "0", 1
 PLAIN_FIELDS = ("email", "active", "person_id", "seller_no", "type", "store")
 
 UNKNOWN_USER, KNOWN_USER, LOGIN_TAKEN = "unknown_user", "user_exists", "login_taken"
+INCOMPLETE = "login_and_password_required"
 
 
 class UserChange(NamedTuple):
@@ -27,6 +28,10 @@ class UserChange(NamedTuple):
     users: DataFrame
     rejected: DataFrame
 
+    def shown(self) -> DataFrame:
+        """The new snapshot as callers may see it: without passwords."""
+        return self.users.drop(PASSWORD)
+
 
 def user_directory(users: DataFrame, ordered: bool = True) -> DataFrame:
     """Active users in code order, without passwords."""
@@ -52,38 +57,47 @@ def _judge(users: DataFrame, changes: DataFrame) -> DataFrame:
         PASSWORD, password_digest(F.col("password"))
     )
     known = users.select("user_id", F.lit(True).alias("known"))
-    first_create = (
-        stored.where(F.col("op") == "create")
-        .groupBy("user_id")
-        .agg(F.min("seq").alias("first_create"))
-    )
     creates = F.col("op") == "create"
-    judged = (
-        lookup(stored.join(known, "user_id", "left"), first_create, "user_id")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
-        .withColumn(
-            "reason",
-            F.when(~creates & ~F.col("known"), UNKNOWN_USER).when(
-                creates & (F.col("known") | (F.col("seq") > F.col("first_create"))), KNOWN_USER
-            ),
-        )
+    judged = lookup(stored, known, "user_id").withColumn(
+        "reason",
+        F.when(~creates & F.col("known").isNull(), UNKNOWN_USER)
+        .when(creates & F.col("known").isNotNull(), KNOWN_USER)
+        .when(creates & (F.col("login").isNull() | F.col(PASSWORD).isNull()), INCOMPLETE),
     )
-    # A login is taken if another user holds it, or if an earlier change may have it.
+    # A login is taken if another user of the old snapshot holds it, or if an earlier change has it.
     holders = users.select("login", F.col("user_id").alias("holder"))
-    asks = F.col("login").isNotNull() & F.col("reason").isNull()
-    held = F.col("holder").isNotNull() & (F.col("holder") != F.col("user_id"))
-    judged = judged.join(holders, "login", "left").withColumn(
-        "reason", F.when(asks & held, LOGIN_TAKEN).otherwise(F.col("reason"))
+    judged = _refuse(
+        lookup(judged, holders, "login"), F.col("login").isNotNull() & (F.col("holder") != F.col("user_id")), LOGIN_TAKEN
     )
-    claims = (
-        judged.where(asks)
-        .groupBy("login")
-        .agg(F.min(F.struct("seq", "user_id")).alias("first_claim"))
-    )
-    late = asks & (F.col("first_claim.user_id") != F.col("user_id"))
-    return lookup(judged, claims, "login").withColumn(
-        "reason", F.when(late, LOGIN_TAKEN).otherwise(F.col("reason"))
+    # Of the creates of one user that are left the first one claims its login. If it loses that to
+    # another user, the next one is the user's first; what both then claim goes by their order.
+    judged = _refuse_late(_with_first_create(judged), ~creates | (F.col("seq") == F.col("first_create")))
+    judged = _with_first_create(judged)
+    judged = _refuse(judged, creates & (F.col("seq") > F.col("first_create")), KNOWN_USER)
+    return _refuse_late(judged, F.lit(True))
+
+
+def _refuse(judged: DataFrame, wrong: Column, reason: str) -> DataFrame:
+    """Give the changes that stand so far and are ``wrong`` the reason."""
+    refused = F.when(F.col("reason").isNull() & wrong, reason).otherwise(F.col("reason"))
+    return judged.withColumn("reason", refused)
+
+
+def _with_first_create(judged: DataFrame) -> DataFrame:
+    first = (
+        judged.where((F.col("op") == "create") & F.col("reason").isNull())
+        .groupBy("user_id")
+        .agg(F.min("seq").alias("first_create"))
     )
+    return lookup(judged.drop("first_create"), first, "user_id")
+
+
+def _refuse_late(judged: DataFrame, claims: Column) -> DataFrame:
+    """Refuse changes whose login another user has claimed before, by a change that stands."""
+    standing = F.col("login").isNotNull() & F.col("reason").isNull() & claims
+    first = judged.where(standing).groupBy("login").agg(F.min(F.struct("seq", "user_id")).alias("claim"))
+    late = (F.col("claim.user_id") != F.col("user_id")) & (F.col("claim.seq") < F.col("seq")) & F.col("login").isNotNull()
+    return _refuse(lookup(judged, first, "login"), late, LOGIN_TAKEN).drop("claim")
 
 
 def apply_user_changes(users: DataFrame, changes: DataFrame, at: datetime) -> UserChange:
@@ -93,8 +107,9 @@ def apply_user_changes(users: DataFrame, changes: DataFrame, at: datetime) -> Us
     ``user_id``, ``login``, ``password``, the plain fields, ``created_by`` and ``changed_by``; NULL
     means "not given". Logins are stripped and upper-cased, passwords stored as MD5. Several
     updates of one user are folded, the last value given wins. A change is rejected if its user is
-    unknown (update) or exists (create), or if its login belongs to another user of the old
-    snapshot or is asked for by an earlier change.
+    unknown (update) or exists (create), if a create gives no login or no password, or if its login
+    belongs to another user of the old snapshot or is asked for by an earlier change that stands.
+    A refused create leaves its user free for the next one.
 
     Nothing is written: the caller stores ``users`` as a new snapshot, never over the one it read.
     """

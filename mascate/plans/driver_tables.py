@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mascate.session import tune
 
 # Columns used of each driver table; declared, so that no job runs to infer them.
 SCHEMAS = {
@@ -36,7 +35,7 @@ class Roles:
     """Each method is one report table as a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tune(spark)
+        self.spark = spark
         self.sf_dir = sf_dir
         self._tables: dict[str, DataFrame] = {}
 

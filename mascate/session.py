@@ -13,11 +13,16 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# On a cluster: many small shuffle partitions at first, which Spark merges by their size at run time.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings to an existing session."""
-    for key, value in RUNTIME_SETTINGS.items():
+def tune(spark: SparkSession, cluster: bool = False) -> SparkSession:
+    """Apply the run-time SQL settings to an existing session; ``cluster`` for terabytes of input."""
+    for key, value in (RUNTIME_SETTINGS | (CLUSTER_SETTINGS if cluster else {})).items():
         spark.conf.set(key, value)
     return spark
 

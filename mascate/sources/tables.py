@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,6 +80,7 @@ def conform(df: DataFrame, table: str, columns: Mapping[str, str] | None = None)
 def read_parquet(
     spark: SparkSession, table: str, path: str, columns: Mapping[str, str] | None = None
 ) -> DataFrame:
+    """Read a Parquet table. Column types come from the files and are cast to those of ``table``."""
     return conform(spark.read.parquet(path), table, columns)
 
 
@@ -90,10 +92,17 @@ def read_jdbc(
     columns: Mapping[str, str] | None = None,
     split_on: str | None = None,
     bounds: tuple[str, str] | None = None,
-    pieces: int = 1,
+    pieces: int | None = None,
     properties: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Read a database table, in ``pieces`` parallel ranges of ``split_on`` if one is given."""
+    """Read a database table in ``pieces`` parallel ranges of ``split_on``.
+
+    To read a table as a whole, through one connection and one task, ask for ``pieces=1``.
+    """
+    if split_on is None and pieces != 1:
+        raise ValueError("give split_on, bounds and pieces, or ask for pieces=1")
+    if split_on is not None and pieces is None:
+        raise ValueError("split_on needs pieces")
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", source)
     if split_on is not None:
         if bounds is None:
@@ -138,6 +147,36 @@ def write_snapshot(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def append_months(df: DataFrame, path: str) -> None:
-    """Append month rows (column ``month``) to a history kept by month."""
-    df.write.mode("append").partitionBy("month").parquet(path)
+def frozen_months(spark: SparkSession, root: str) -> DataFrame:
+    """The months (column ``month``) that :func:`freeze_month` has stored under ``root``, also empty ones."""
+    try:
+        return spark.read.schema("month DATE").parquet(f"{root.rstrip('/')}/months/*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "month DATE")
+
+
+def freeze_month(df: DataFrame, root: str, month: date) -> bool:
+    """Store the rows of a month once and for all; False, and nothing written, if it is stored already.
+
+    The rows go into a folder of the month, then an entry into the table of months, which commits
+    them: rows without an entry are what a broken run has left, and are not read and replaced by
+    the next run. Of two runs at once the second one fails at the entry. A month without rows has
+    its entry too.
+    """
+    month, spark = first_of_month(month), df.sparkSession
+    if frozen_months(spark, root).where(F.col("month") == F.lit(month)).limit(1).count():
+        return False
+    root = root.rstrip("/")
+    df.drop("month").write.mode("overwrite").parquet(f"{root}/rows/month={month.isoformat()}")
+    entry = spark.range(1).select(F.lit(month).alias("month"))
+    entry.write.mode("errorifexists").parquet(f"{root}/months/{month.isoformat()}")
+    return True
+
+
+def read_months(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all frozen months, with their month."""
+    rows = spark.read.option("basePath", f"{root.rstrip('/')}/rows").parquet(f"{root.rstrip('/')}/rows/month=*")
+    rows = rows.withColumn("month", F.col("month").cast("date"))
+    return rows.join(frozen_months(spark, root), "month", "left_semi")

@@ -176,3 +176,14 @@ def test_roster_blocks(make):
     assert rows(members.active_roster(roster)) == [(t(1),)]
     assert rows(members.member_since(roster)) == sorted([
         ("1", date(2026, 1, 1)), ("01", None), (t(1), None), ("2", date(2025, 3, 1)), ("3", None)], key=repr)
+
+
+def test_a_figure_that_is_no_number_is_zero(make, spark):
+    nan = float("nan")
+    detail = make("league_members", [dict(plan_code=1, member_no=1, tax_id="1", points=nan, purchases_7m=nan, discount_pct=nan)])
+    roster = make("league_roster", [dict(tax_id="1", active="S")])
+    nobody = make("customers", [])
+    targets = spark.createDataFrame([("1",)], "tax_id STRING")
+    profile = members.member_profile(targets, nobody, roster, detail)
+    assert rows(profile, "points", "purchases_7m", "balance", "message") == [(0.0, 0.0, 0.0, "Ativa na Liga.")]
+    assert rows(members.roster_list(roster, detail, nobody), "points", "discount_pct") == [(0.0, 0.0)]

@@ -82,3 +82,17 @@ def test_hot_parent_lookup_is_split(spark):
 def test_directory_has_one_shuffle(spark, make):
     plan = plan_of(customer_directory(make("customers", [dict(customer_id=1, tax_id="1")])))
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_only_the_owners_of_listed_members_are_looked_up(spark):
+    plan = QUERIES["top_members"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftSemi[^\n]*\n(?:[^\n]*\n){1,6}?[^\n]*o_orderkey", plan)
+    assert "strategy=broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["goal_streaks_stage_seller", "deactivation_risk_seller", "birthdays_seller"])
+def test_the_fallback_test_reuses_the_facts(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    plan = plan_of(df)
+    assert "ReusedExchange" in plan

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from conftest import rows
 from mascate.operators import risk, snapshots
-from mascate.sources.tables import append_months
+from mascate.sources.tables import freeze_month, frozen_months, read_months
 
 AS_OF = date(2026, 6, 15)
 D = Decimal
@@ -144,23 +144,43 @@ def test_record_risk_summary(make):
 
 
 def test_month_snapshots(make, spark, tmp_path):
-    month = date(2026, 6, 1)
-    opened = snapshots.open_month(record(make), month)
-    append_months(opened, str(tmp_path / "open"))
-    kept = spark.read.parquet(str(tmp_path / "open"))
+    month, root = date(2026, 6, 1), str(tmp_path / "open")
+    assert frozen_months(spark, root).count() == 0
+    assert freeze_month(snapshots.open_month(record(make), month), root, month)
+    kept = read_months(spark, root)
     assert kept.count() == 3
-    # A month that is there already adds nothing; another one does.
+    # A month that is there already adds nothing, whatever the report says now; another one does.
+    assert not freeze_month(snapshots.open_month(record(make, store=9), month), root, month)
+    assert read_months(spark, root).count() == 3
     assert snapshots.open_month(record(make), month, kept).count() == 0
     assert snapshots.open_month(record(make), date(2026, 7, 3), kept).count() == 3
+    # An empty month is frozen too.
+    july = date(2026, 7, 1)
+    assert freeze_month(snapshots.open_month(record(make, store=9), july), root, july)
+    assert not freeze_month(snapshots.open_month(record(make), july), root, july)
+    assert rows(frozen_months(spark, root)) == [(month,), (july,)] and read_months(spark, root).count() == 3
 
     ending = record(make).where("customer_id <> 4")
     closed = snapshots.close_month(kept, ending, month)
     assert rows(closed, "customer_id", "seller_name", "store", "realised", "reached") == sorted([
         (2, "Owner", 2, D("0.01"), True), (4, "Line", None, D("0"), False), (7, None, None, D("0"), False),
     ], key=repr)
-    append_months(closed, str(tmp_path / "closed"))
-    done = spark.read.parquet(str(tmp_path / "closed"))
+    groups = snapshots.month_groups(snapshots.current_month(kept, ending, month))
+    assert rows(groups.where("grouped_by = 'total'"), "customers", "reached", "realised") == [(3, 1, D("0.01"))]
+    ends = str(tmp_path / "closed")
+    assert snapshots.oldest_open_month(frozen_months(spark, root), frozen_months(spark, ends)) == month
+    assert freeze_month(closed, ends, month)
+    assert snapshots.oldest_open_month(frozen_months(spark, root), frozen_months(spark, ends)) == july
+    done = read_months(spark, ends)
     assert snapshots.close_month(kept, ending, month, done).count() == 0
     assert [r.customer_id for r in snapshots.history_of(done, month=month, seller_name="Owner").collect()] == [2]
     assert snapshots.history_of(done, month=date(2026, 5, 1)).count() == 0
     assert snapshots.history_of(done, store=2).count() == 1
+
+
+def test_empty_summary_has_its_total(make):
+    nothing = risk.record_risk(
+        make("sales_lines", []), make("owner_history", []), make("sellers", []), AS_OF, ordered=False
+    )
+    assert rows(risk.record_risk_summary(nothing)) == [("total", "", 0, 0, D(0), D(0))]
+    assert rows(risk.record_risk_report(nothing)["summary"]) == [(0, 0, D(0), D(0))]

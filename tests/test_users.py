@@ -72,3 +72,26 @@ def test_soft_delete(make, spark):
     after = users.soft_delete_users(table(make), asked, NOW)
     assert rows(after, "user_id", "active", "changed") == sorted(
         [(1, 0, NOW), (2, 0, None), (3, 1, None), (4, 0, None), (5, 1, None)], key=repr)
+
+
+def test_refused_creates_leave_the_user_free(make, spark):
+    result = users.apply_user_changes(table(make), changes(
+        spark,
+        dict(op="create", user_id=900, login="u1", password="p"),
+        dict(op="create", user_id=900, login="b", password="p"),
+        dict(op="create", user_id=901, login="B", password="p"),
+        dict(op="create", user_id=902, login=None, password="p"),
+        dict(op="create", user_id=902, login="c", password=None),
+        dict(op="create", user_id=902, login="c", password="p"),
+        dict(op="create", user_id=903, login="c", password="p"),
+        dict(op="create", user_id=903, login="d", password="p"),
+        dict(op="create", user_id=904, login="d", password="p"),
+        dict(op="update", user_id=1, login="e"),
+    ), NOW)
+    assert rows(result.rejected, "seq", "reason") == sorted([
+        (0, "login_taken"), (2, "login_taken"), (3, "login_and_password_required"),
+        (4, "login_and_password_required"), (6, "login_taken"), (8, "login_taken"),
+    ], key=repr)
+    after = {r.user_id: r.login for r in result.shown().collect()}
+    assert (after[900], after[902], after[903], after[1]) == ("B", "C", "D", "E") and len(after) == 8
+    assert "password_md5" not in result.shown().columns
