@@ -28,6 +28,8 @@ class Kind:
 
 #: What a word nearby adds, how far before and after a span it may stand, and the score to report a span.
 NEAR, BEFORE, AFTER, ENOUGH = 0.3, 48, 24, 0.5
+#: Spans that are added up at a time.
+BLOCK = 128
 
 
 def _digits(match: Column) -> Column:
@@ -111,8 +113,8 @@ KINDS = (
 )
 
 
-def _spans(order: int, kind: Kind) -> Column:
-    """The kind's confirmed spans out of its matches and the gaps between them, in one pass."""
+def _items(kind: Kind) -> Column:
+    """Of each match its length, that of the gap before it, and its score if it is confirmed."""
     matches, gaps = F.col("matches"), F.col("gaps")
     words = rf"(?:^|[^a-z])(?:{kind.context})(?:$|[^a-z])"
 
@@ -121,7 +123,7 @@ def _spans(order: int, kind: Kind) -> Column:
         after = F.left(F.get(gaps, at + 1), F.lit(AFTER))
         return F.lower(before).rlike(words) | F.lower(after).rlike(words)
 
-    spans = F.transform(
+    return F.transform(
         matches,
         lambda match, at: F.struct(
             F.length(F.get(gaps, at)).cast("long").alias("gap"),
@@ -131,9 +133,13 @@ def _spans(order: int, kind: Kind) -> Column:
             ),
         ),
     )
+
+
+def _spans(order: int, kind: Kind) -> Column:
+    """The reported spans of a kind: its items' places added up."""
+    items = F.col("items")
     span = "struct<start:bigint,place:int,end:bigint,kind:string,score:double>"
     nothing = F.array().cast(f"array<{span}>")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("found"))
 
     def step(state: Column, item: Column) -> Column:
         start = state["at"] + item["gap"]
@@ -149,7 +155,17 @@ def _spans(order: int, kind: Kind) -> Column:
         more = F.when(reported, F.array(found)).otherwise(nothing)
         return F.struct(end.alias("at"), F.concat(state["found"], more).alias("found"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(spans, begin, step)["found"]).otherwise(nothing)
+    # In blocks, as each addition to an array copies it.
+    def block_step(state: Column, block: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), nothing.alias("found"))
+        done = F.aggregate(block, start, step)
+        return F.struct(done["at"].alias("at"), F.concat(state["found"], F.array(done["found"])).alias("found"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda n: F.slice(items, n * BLOCK + 1, F.lit(BLOCK)))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{span}>>").alias("found"))
+    every = F.flatten(F.aggregate(blocks, begin, block_step)["found"])
+    return F.when(F.size(items) > 0, every).otherwise(nothing)
 
 
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -167,7 +183,8 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             every = F.when(F.contains("text", F.lit(kind.hint)), every)
         rows = rows.withColumn("matches", F.coalesce(every, F.array().cast("array<string>")))
         parts = F.when(F.size("matches") > 0, F.split("text", kind.pattern, -1))
-        rows = rows.withColumn("gaps", parts).withColumn(f"spans{order}", _spans(order, kind)).drop("matches", "gaps")
+        rows = rows.withColumn("gaps", parts).withColumn("items", _items(kind)).drop("matches", "gaps")
+        rows = rows.withColumn(f"spans{order}", _spans(order, kind)).drop("items")
         found.append(f"spans{order}")
     spans = F.array_sort(F.concat(*found))
     shown = F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"], F.round(s["score"], 2).alias("score")))

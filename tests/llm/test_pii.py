@@ -84,9 +84,9 @@ def test_odd_rows(spark):
 def test_hostile_texts_take_linear_time(spark):
     long = ["a" * 400_000, "1" * 400_000, "1 " * 200_000, "1." * 200_000, "+1 " * 130_000, "a@" * 200_000, "A1 " * 130_000]
     began = time.time()
-    assert pii.find(table(spark, [(n, t, "", "", 0) for n, t in enumerate(long)]), ["doc_id"]).count() == len(long)
-    pii.find(table(spark, [(n, t, "", "", 0) for n, t in enumerate(long)]), ["doc_id"]).collect()
-    assert time.time() - began < 60
+    got = pii.find(table(spark, [(n, t, "", "", 0) for n, t in enumerate(long)]), ["doc_id"]).collect()
+    assert [len(r["spans"]) for r in sorted(got)] == [0, 0, 0, 50_000, 0, 0, 0]
+    assert time.time() - began < 120
 
 
 def test_redact(spark):
