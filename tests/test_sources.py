@@ -8,7 +8,7 @@ from mascate.functions.calendar import DateWindow
 from mascate.sources.tables import TABLES, read_facts, read_parquet, schema_of, write_facts, write_snapshot
 
 
-def test_schemas():
+def test_schemas(spark):
     assert {name: len(schema_of(name).fields) for name in TABLES}["customers"] == 17
 
 
