@@ -96,3 +96,8 @@ def test_the_fallback_test_reuses_the_facts(spark, name):
     df.collect()
     plan = plan_of(df)
     assert "ReusedExchange" in plan
+
+
+def test_the_history_is_not_sorted_before_the_shuffle(spark):
+    plan = plan_of(QUERIES["latest_owner"](spark, SF))
+    assert re.search(r"[^t]HashAggregate\(keys=[^\n]*partial_max\(", plan)
