@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,6 +199,8 @@ def _in_buckets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     The first document after a bucket is put into it once more, as ``extra``, so that each
     document meets the next one. One row per bucket reaches the driver, to say which that is.
     """
+    from pyspark.ml.feature import Bucketizer  # a large import that only this needs
+
     place = F.coalesce(F.col(doc_id).cast("double"), F.lit(float("-inf")))
     named = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), place.alias("place"))
     rows, least = named.agg(F.count(F.lit(1)), F.min(F.when(F.col("place") > float("-inf"), F.col("place")))).first()

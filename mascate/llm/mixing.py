@@ -78,23 +78,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     set of weights meets (no cell joins two categories) end after ``MOST_ROUNDS``.
     """
     cells = written(cells)
-    wanted = {d: written(_targets(cells, d, (targets or {}).get(d), temper)) for d in DIMENSIONS}
     now = cells.withColumn("weight", F.col("tokens"))
+    for d in DIMENSIONS:
+        wanted = _targets(cells, d, (targets or {}).get(d), temper).withColumnRenamed("share", f"share_{d}")
+        now = lookup(now, wanted, d, "inner")
+    now = written(now)
     for _ in range(MOST_ROUNDS):
         moved = F.lit(0.0)
         for d in DIMENSIONS:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
-            factors = sums.join(wanted[d], d).select(d, (F.col("share") / F.col("sum")).alias("factor"))
-            now = lookup(now, factors, d, "inner")
-            now = now.withColumn("weight", F.col("weight") * F.col("factor"))
-            now = now.withColumnRenamed("factor", f"factor_{d}")
-            moved = F.greatest(moved, F.abs(F.col(f"factor_{d}") - 1))
-        now = written(now.select(*DIMENSIONS, "tokens", "weight", moved.alias("moved")))
+            sums = now.groupBy(d).agg(F.sum("weight").alias(f"sum_{d}"))
+            factor = F.col(f"share_{d}") / F.col(f"sum_{d}")
+            now = lookup(now, sums, d, "inner").withColumn("weight", F.col("weight") * factor)
+            moved = F.greatest(moved, F.abs(factor - 1))
+        now = written(now.withColumn("moved", moved).drop(*[f"sum_{d}" for d in DIMENSIONS]))
         largest = now.agg(F.max("moved")).first()[0]
         now = now.drop("moved")
         if largest is None or largest <= TOLERANCE:
             break
-    return now
+    return now.select(*DIMENSIONS, "tokens", "weight")
 
 
 def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
