@@ -19,6 +19,8 @@ from mascate.llm.frames import checkpointed, map_texts
 TRAIN_DOCS = 8000
 #: Words that train, at most: insults and the words most like them, and ordinary ones; and the landmarks of each kind.
 INSULTS, LIKE, ORDINARY, LANDMARKS = 256, 1500, 1500, 200
+#: Words nearest to the middle of the insults, out of which the words most like an insult are chosen.
+CLOSE = 20_000
 #: Letters of a subsequence, what each place it spans counts, and the most places.
 LETTERS, DECAY, SPAN = 3, 0.7, 8
 #: The power of the kernel in the second machine.
@@ -28,6 +30,8 @@ LONGEST = 24
 #: Scores of words are cut off below; over SURE they count as insults; remembered words of a task.
 FLOOR = -1.0
 SURE = 0.5
+#: From this score of the first machine on the second one is asked.
+GATE = -0.5
 MEMORY = 1 << 18
 PREDICTED = 0.7
 #: Of a text: its strongest word, the next one, and how many sure insults, all of them, and if any.
@@ -104,6 +108,10 @@ class Landmarks:
         self.known[list(columns)] = np.arange(len(columns))
         self.table = np.vstack([*columns.values(), np.zeros(len(words), np.float32)])
 
+    def middle(self) -> np.ndarray:
+        """The mean of the landmarks, as the weight of each subsequence."""
+        return self.table.mean(axis=1)[self.known]
+
     def kernel(self, words: list[str]) -> np.ndarray:
         """The normalised gap-weighted subsequence kernel of each word with each landmark."""
         found = np.zeros((len(words), len(self.words)))
@@ -114,6 +122,14 @@ class Landmarks:
         return found
 
 
+def with_middle(middle: np.ndarray, words: list[str]) -> np.ndarray:
+    """The kernel of each word with the middle of the landmarks, by table, without a look at each landmark."""
+    found = np.zeros(len(words))
+    for part, numbers, weights in _by_size(words):
+        found[part] = middle[numbers] @ weights / _norms(numbers, weights)
+    return found
+
+
 def _train(features: np.ndarray, signs: np.ndarray, weights: np.ndarray, cost: float = 30.0, rounds: int = 800):
     """A linear support vector machine with squared hinge loss, by accelerated gradient steps."""
     x = np.hstack([features, np.ones((len(features), 1))])
@@ -178,13 +194,16 @@ class WordModel:
         return cls(held, table, bias, *machine(POWER))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """A word above 0 is on the side of the insults; below ``FLOOR`` scores are not told apart."""
+        """A word above 0 is on the side of the insults; one that the first machine turns down has ``FLOOR``."""
         found = np.full(len(words), FLOOR)
         for part, numbers, weights in _by_size(words):
             sums = self.table[numbers] @ weights
             # repeats only lengthen a vector, so this bounds the first score where the sum is positive
             most = np.maximum(sums, 0) / np.sqrt((weights**2).sum()) + self.bias
-            maybe = part[most > FLOOR].tolist()
+            high = np.flatnonzero(most > GATE)
+            if len(high):
+                high = high[sums[high] / _norms(numbers[high], weights) + self.bias > GATE]
+            maybe = part[high].tolist()
             if maybe:
                 near = self.landmarks.kernel([words[n] for n in maybe])
                 found[maybe] = np.maximum(FLOOR, near**POWER @ self.sharp + self.sharp_bias)
@@ -312,14 +331,17 @@ def fit(train: DataFrame) -> TextModel | None:
     if not insults:
         return None
     lead = Landmarks(list(insults)[:LANDMARKS])
+    middle = lead.middle()
     others = rated.where(~(clear & (F.col("bad") > F.col("fine")))).select("word")
 
     def start():
-        return lambda texts: [pa.array(lead.kernel(texts).max(axis=1) if texts else [], pa.float64())]
+        return lambda texts: [pa.array(with_middle(middle, texts), pa.float64())]
 
-    alike = map_texts(others, ["word"], "word", start, "like double").orderBy(F.desc("like"), "word").limit(LIKE)
+    close = map_texts(others, ["word"], "word", start, "like double").orderBy(F.desc("like"), "word").limit(CLOSE)
+    close = [r["word"] for r in close.collect()]
+    nearest = np.argsort(-lead.kernel(close).max(axis=1), kind="stable")[:LIKE] if close else []
     ordinary = others.orderBy(F.xxhash64("word"), "word").limit(ORDINARY)
-    known = list(dict.fromkeys([r["word"] for r in alike.collect()] + [r["word"] for r in ordinary.collect()]))
+    known = list(dict.fromkeys([close[n] for n in nearest] + [r["word"] for r in ordinary.collect()]))
     model = TextModel(WordModel.fit(insults, known, [*lead.words, *known[:LANDMARKS]]))
 
     def run():
