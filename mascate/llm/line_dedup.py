@@ -89,7 +89,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while 2 << power <= min_words:
         half, power = f"rank{power}", power + 1
         pairs = ranks.withColumn("second", _ahead(half, 1 << (power - 1)))
-        longer = _ranked(pairs.where("second is not null"), [half, "second"], f"rank{power}")
+        # a half without a rank is not repeated, and NULLs would count as equal
+        both = pairs.where(F.col(half).isNotNull() & F.col("second").isNotNull())
+        longer = _ranked(both, [half, "second"], f"rank{power}")
         longer = longer.select("id", "mark", "seq", f"rank{power}")
         same = [F.col("l.id").eqNullSafe(F.col("r.id")), F.col("l.mark") == F.col("r.mark"), F.col("l.seq") == F.col("r.seq")]
         joined = ranks.alias("l").join(longer.alias("r"), same, "left")

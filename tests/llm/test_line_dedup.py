@@ -57,6 +57,23 @@ def test_runs_match_brute_force(spark, min_words):
     check(table(spark, [(i, t, "en", "a", len(t)) for i, t in items]), items, min_words)
 
 
+def test_runs_of_one_word_lines_match_brute_force(spark):
+    # each line stands elsewhere, but the run of four does not
+    items = [(1, "alpha\nbeta\nLogin\nHelp"), (2, "gamma\ndelta\nLogin\nHelp"), (3, "delta"), (4, "alpha\ngamma\nbeta")]
+    check(table(spark, [(i, t, "en", "a", len(t)) for i, t in items]), items, 4)
+    rng = random.Random(12)
+    lines = [f"w{n}" for n in range(40)]
+    common = [["w1", "w2"], ["w3", "w4", "w5"], ["w6", "w7", "w8", "w9", "w10"]]
+
+    def text():
+        parts = (rng.choice(common) if rng.random() < 0.4 else [rng.choice(lines)] for _ in range(rng.randrange(20)))
+        return "\n".join(line for part in parts for line in part)
+
+    items = [(n, text()) for n in range(120)]
+    for min_words in (4, 9):
+        check(table(spark, [(i, t, "en", "a", len(t)) for i, t in items]), items, min_words)
+
+
 def test_odd_rows(spark):
     check(odd(spark), [(r[0], r[1]) for r in ODD], line_dedup.MIN_WORDS)
 
