@@ -1,4 +1,4 @@
-"""Mixing: rake token weights to marginal targets, then sample documents by the calibrated probabilities."""
+"""Mixing: rake token weights to marginal targets, then sample or repeat documents by the calibrated weights."""
 
 from __future__ import annotations
 
@@ -121,6 +121,17 @@ def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
     return cells.select(*DIMENSIONS, chance.alias("probability"))
 
 
+def expected_copies(cells: DataFrame, share: float = SHARE) -> DataFrame:
+    """The raked cells with ``expected``, the copies of each of their documents, so that all targets are met.
+
+    A cell gives tokens in proportion to its weight; one that would give more than it has repeats
+    its documents, as no choice among them meets the targets. ``share`` of all tokens is expected.
+    """
+    total = cells.agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight")).first()
+    scale = (total["tokens"] or 0.0) * share / (total["weight"] or 1.0)
+    return cells.select(*DIMENSIONS, (F.col("weight") * F.lit(scale) / F.col("tokens")).alias("expected"))
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -129,26 +140,68 @@ def mix(
     targets: dict[str, dict[str, float]] | None = None,
     temper: float = TEMPER,
     share: float = SHARE,
+    repeats: bool = True,
 ) -> DataFrame:
-    """A row per document: ``row``, the categories, tokens, probability, and whether it is sampled.
+    """A row per document: ``row``, the categories, tokens, probability, whether it is sampled, expected copies and copies.
 
     ``targets`` gives shares of tokens by category value for source, lang or topic; a marginal that
-    is not given is tempered; ``share`` of all tokens is expected. A document is sampled if a hash of its id and text, uniform over 0
-    to 1, is under its cell's probability: the same document always gets the same answer, and
-    repeated rows share it. NULL categories are a category of their own. Documents without a
-    token, or of a value without a target, have probability 0. An empty table gives no rows.
+    is not given is tempered; ``share`` of all tokens is expected. A document has the whole part of
+    ``expected`` as ``copies``, and one more if a hash of its id and text, uniform over 0 to 1, is
+    under the rest: the same document always gets the same answer, and repeated rows share it.
+    ``probability`` is that of one copy or more. With ``repeats=False`` no document is taken twice
+    and the targets are missed where cells have too little; ``shares`` tells by how much. NULL
+    categories are a category of their own. Documents without a token, or of a value without a
+    target, have probability 0. An empty table gives no rows.
     """
     rows = prepared(docs, text, topic)
     cell = F.concat_ws("\x1f", *DIMENSIONS)
-    chances = written(probabilities(rake(cells_of(rows), targets, temper), share))
-    chances = chances.select(cell.alias("cell"), "probability")
+    raked = rake(cells_of(rows), targets, temper)
+    if repeats:
+        chances = written(expected_copies(raked, share))
+    else:
+        chances = written(probabilities(raked, share).withColumnRenamed("probability", "expected"))
+    chances = chances.select(cell.alias("cell"), "expected")
     rated = lookup(rows.withColumn("cell", cell), chances, "cell").drop("cell")
     # 52 bits of the hash, so that the quotient is exact and under 1
     point = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), f"row.{doc_id}", f"row.{text}"), 12) / F.lit(float(1 << 52))
-    chance = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
-    return rated.withColumn("probability", chance).withColumn("sampled", point < F.col("probability"))
+    expected = F.when(F.col("tokens") > 0, F.coalesce("expected", F.lit(0.0))).otherwise(F.lit(0.0))
+    rated = rated.withColumn("expected", expected)
+    rated = rated.withColumn("probability", F.least(F.lit(1.0), F.col("expected")))
+    rated = rated.withColumn("sampled", point < F.col("probability"))
+    whole = F.floor("expected")
+    copies = whole + (point < F.col("expected") - whole).cast("long")
+    names = ["row", *DIMENSIONS, "tokens", "probability", "sampled", "expected"]
+    return rated.select(*names, copies.alias("copies"))
+
+
+def shares(
+    mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER
+) -> DataFrame:
+    """(dimension, value, target, expected, reached): of each category value the shares of tokens of what ``mix`` gave.
+
+    ``target`` is NULL for a value without one. ``expected`` follows from the expected copies,
+    ``reached`` from the copies. ``targets`` and ``temper`` are those given to ``mix``.
+    """
+    given = [F.sum(F.col("tokens") * F.col(c)).cast("double").alias(c) for c in ("expected", "copies")]
+    cells = written(mixed.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("tokens"), *given).where("tokens > 0"))
+    every = cells.agg(F.sum("expected").alias("expected"), F.sum("copies").alias("copies")).first()
+    parts = []
+    for d in DIMENSIONS:
+        wanted = _targets(cells, d, (targets or {}).get(d), temper).withColumnRenamed("share", "target")
+        sums = cells.groupBy(d).agg(F.sum("expected").alias("expected"), F.sum("copies").alias("copies"))
+        parts.append(
+            sums.join(wanted, d, "left").select(
+                F.lit(d).alias("dimension"),
+                F.col(d).alias("value"),
+                "target",
+                (F.col("expected") / F.lit(every["expected"] or 1.0)).alias("expected"),
+                (F.col("copies") / F.lit(every["copies"] or 1.0)).alias("reached"),
+            )
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, all columns."""
-    return mix(docs, **options).where("sampled").select("row.*")
+    """The sampled documents, all columns, each as often as it has copies."""
+    taken = mix(docs, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -104,7 +104,12 @@ def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     chance = F.round("probability", 9).alias("probability")
-    return mixed.select("row.doc_id", "source", "lang", "topic", "tokens", chance, "sampled")
+    return mixed.select("row.doc_id", "source", "lang", "topic", "tokens", chance, "sampled", "copies")
+
+
+def op10_mixing_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.shares(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.withColumns({c: F.round(c, 9) for c in ("target", "expected", "reached")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -119,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ablation": op8_rule_ablation,
     "op9_quality_bayes": op9_quality_bayes,
     "op10_mixing": op10_mixing,
+    "op10_mixing_shares": op10_mixing_shares,
 }

@@ -49,6 +49,25 @@ def test_sampling_follows_probabilities(spark):
     assert mixed[mixed.source == "small"].probability.iloc[0] == 1.0
 
 
+def test_targets_are_reached_where_cells_have_too_little(spark):
+    # a ninth of the tokens is to be half of the sample, and German two thirds of it
+    rows = [(n, f"text number {n} " + "w " * 20, "de" if n % 4 else "en", "big" if n % 9 else "small", 0) for n in range(3600)]
+    docs = table(spark, rows)
+    targets = {"source": {"big": 0.5, "small": 0.5}, "lang": {"de": 2 / 3, "en": 1 / 3}, "topic": {"note": 1.0}}
+    mixed = mixing.mix(docs, targets=targets, share=0.8)
+    for row in mixing.shares(mixed, targets).collect():
+        assert row["target"] == targets[row["dimension"]][row["value"]]
+        assert abs(row["expected"] - row["target"]) < 1e-5
+        assert abs(row["reached"] - row["target"]) < 0.02
+    got = mixed.select("row.doc_id", "tokens", "sampled", "copies").toPandas()
+    assert (got["sampled"] == (got["copies"] > 0)).all() and got["copies"].max() > 1
+    assert abs((got["tokens"] * got["copies"]).sum() / got["tokens"].sum() - 0.8) < 0.02
+    taken = mixing.sample(docs, targets=targets, share=0.8).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in taken} == {r.doc_id: r.copies for r in got.itertuples() if r.copies}
+    once = mixing.mix(docs, targets=targets, share=0.8, repeats=False)
+    assert once.where("copies > 1").count() == 0
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     got = mixing.mix(docs).select("row.doc_id", "source", "lang", "tokens", "probability", "sampled").collect()
