@@ -62,6 +62,37 @@ def _iban(match: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+#: The characters of an IBAN by country, from the registry and from the countries that use the form without being in it.
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Of each country as many characters as its IBANs have; other codes read on as far as they can."""
+    kinds = {size: codes.replace(" ", "|") for size, codes in IBAN_COUNTRIES.items()}
+    fixed = [rf"(?:{codes})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{size - 4}}}" for size, codes in kinds.items()]
+    other = rf"(?!{'|'.join(kinds.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?+[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*fixed, other])})(?![A-Za-z0-9])"
+
+
 def _any(match: Column) -> Column:
     return match.isNotNull()
 
@@ -90,7 +121,7 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        _iban_pattern(),
         _iban,
         0.8,
         "iban|account|bank|konto|cuenta|compte",

@@ -74,6 +74,20 @@ def test_checksums_and_context_add_spans(spark):
     assert ("secret", "0123456789abcdef0123456789abcdef01234567") in shown
 
 
+def test_ibans_end_where_their_country_says(spark):
+    cases = [
+        ("IBAN DE89370400440532013000 Bitte zahlen", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 EUR 5", ["DE89 3704 0044 0532 0130 00"]),
+        ("NO93 8601 1117 947 BIC DNBANOKK", ["NO93 8601 1117 947"]),
+        ("GB82 WEST 1234 5698 7654 32 GB82WEST12345698765432 7", ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]),
+        ("MT84 MALT 0110 0001 2345 MTLC AST0 01S Anna", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+        ("DE89 3704 0044 0532 0130 01 EUR, DE893704004405320130001", []),
+    ]
+    got = spans(table(spark, [(n, t, "", "", 0) for n, (t, _) in enumerate(cases)]), base=False)
+    for n, (text, expected) in enumerate(cases):
+        assert [text[a:b] for kind, a, b in got[n] if kind == "iban"] == expected, text
+
+
 def test_odd_rows(spark):
     got = pii.find(odd(spark), ["doc_id", "row"]).collect()
     assert len(got) == len(ODD)
