@@ -145,25 +145,22 @@ KINDS = (
 
 
 def _items(kind: Kind) -> Column:
-    """Of each match its length, that of the gap before it, and its score if it is confirmed."""
-    matches, gaps = F.col("matches"), F.col("gaps")
-    words = rf"(?:^|[^a-z])(?:{kind.context})(?:$|[^a-z])"
-
-    def near(at: Column) -> Column:
-        before = F.right(F.get(gaps, at), F.lit(BEFORE))
-        after = F.left(F.get(gaps, at + 1), F.lit(AFTER))
-        return F.lower(before).rlike(words) | F.lower(after).rlike(words)
-
-    return F.transform(
-        matches,
-        lambda match, at: F.struct(
-            F.length(F.get(gaps, at)).cast("long").alias("gap"),
+    """Of each match its length, that of the gap before it, the text ends around it, and its score if it is confirmed."""
+    # zipped, not looked up by place, so that no column is worked out anew for each match
+    zipped = F.arrays_zip("matches", F.slice("gaps", F.lit(1), F.size("matches")), "afters")
+
+    def item(of: Column) -> Column:
+        match, gap = of["matches"], of["1"]
+        return F.struct(
+            F.length(gap).cast("long").alias("gap"),
             F.length(match).cast("long").alias("size"),
-            F.when(kind.confirm(match), F.lit(kind.score) + F.when(near(at), F.lit(NEAR)).otherwise(F.lit(0.0))).alias(
-                "score"
-            ),
-        ),
-    )
+            F.right(gap, F.lit(BEFORE)).alias("lead"),
+            F.right(match, F.lit(BEFORE)).alias("own"),
+            of["afters"].alias("after"),
+            F.when(kind.confirm(match), F.lit(kind.score)).alias("score"),
+        )
+
+    return F.when(F.size("matches") > 0, F.transform(zipped, item))
 
 
 def _spans(order: int, kind: Kind) -> Column:
@@ -171,30 +168,38 @@ def _spans(order: int, kind: Kind) -> Column:
     items = F.col("items")
     span = "struct<start:bigint,place:int,end:bigint,kind:string,score:double>"
     nothing = F.array().cast(f"array<{span}>")
+    words = rf"(?:^|[^a-z])(?:{kind.context})(?:$|[^a-z])"
 
     def step(state: Column, item: Column) -> Column:
         start = state["at"] + item["gap"]
         end = start + item["size"]
+        before = F.right(F.concat(state["before"], item["lead"]), F.lit(BEFORE))
+        near = F.lower(before).rlike(words) | F.lower(item["after"]).rlike(words)
+        score = item["score"] + F.when(near, F.lit(NEAR)).otherwise(F.lit(0.0))
         found = F.struct(
             start.alias("start"),
             F.lit(order).alias("place"),
             end.alias("end"),
             F.lit(kind.name).alias("kind"),
-            F.least(item["score"], F.lit(1.0)).alias("score"),
+            F.least(score, F.lit(1.0)).alias("score"),
         )
-        reported = item["score"].isNotNull() & (F.lit(kind.always) | (item["score"] >= ENOUGH))
+        reported = item["score"].isNotNull() & (F.lit(kind.always) | (score >= ENOUGH))
         more = F.when(reported, F.array(found)).otherwise(nothing)
-        return F.struct(end.alias("at"), F.concat(state["found"], more).alias("found"))
+        behind = F.right(F.concat(before, item["own"]), F.lit(BEFORE))
+        return F.struct(end.alias("at"), behind.alias("before"), F.concat(state["found"], more).alias("found"))
 
     # In blocks, as each addition to an array copies it.
     def block_step(state: Column, block: Column) -> Column:
-        start = F.struct(state["at"].alias("at"), nothing.alias("found"))
+        start = F.struct(state["at"].alias("at"), state["before"].alias("before"), nothing.alias("found"))
         done = F.aggregate(block, start, step)
-        return F.struct(done["at"].alias("at"), F.concat(state["found"], F.array(done["found"])).alias("found"))
+        every = F.concat(state["found"], F.array(done["found"]))
+        return F.struct(done["at"].alias("at"), done["before"].alias("before"), every.alias("found"))
 
     numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
     blocks = F.transform(numbers, lambda n: F.slice(items, n * BLOCK + 1, F.lit(BLOCK)))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{span}>>").alias("found"))
+    begin = F.struct(
+        F.lit(0).cast("long").alias("at"), F.lit("").alias("before"), F.array().cast(f"array<array<{span}>>").alias("found")
+    )
     every = F.flatten(F.aggregate(blocks, begin, block_step)["found"])
     return F.when(F.size(items) > 0, every).otherwise(nothing)
 
@@ -203,7 +208,8 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``spans``: kind, start, end (code points, end exclusive) and score, by start.
 
     Matches of a kind are leftmost and do not overlap; one that fails its check is dropped and not
-    tried again elsewhere. Kinds may overlap each other. A NULL or empty text has no spans. Rows
+    tried again elsewhere. Words of a kind's context are looked for in the text around each span,
+    whatever else stands there. Kinds may overlap each other. A NULL or empty text has no spans. Rows
     are neither joined nor moved: everything is worked out in the row, from the whole text.
     """
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -214,7 +220,10 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             every = F.when(F.contains("text", F.lit(kind.hint)), every)
         rows = rows.withColumn("matches", F.coalesce(every, F.array().cast("array<string>")))
         parts = F.when(F.size("matches") > 0, F.split("text", kind.pattern, -1))
-        rows = rows.withColumn("gaps", parts).withColumn("items", _items(kind)).drop("matches", "gaps")
+        after = rf"{kind.pattern}(?=((?s:.{{0,{AFTER}}})))"
+        afters = F.when(F.size("matches") > 0, F.regexp_extract_all("text", F.lit(after), F.lit(1)))
+        rows = rows.withColumn("gaps", parts).withColumn("afters", afters)
+        rows = rows.withColumn("items", _items(kind)).drop("matches", "gaps", "afters")
         rows = rows.withColumn(f"spans{order}", _spans(order, kind)).drop("items")
         found.append(f"spans{order}")
     spans = F.array_sort(F.concat(*found))

@@ -88,6 +88,21 @@ def test_ibans_end_where_their_country_says(spark):
         assert [text[a:b] for kind, a, b in got[n] if kind == "iban"] == expected, text
 
 
+def test_one_word_serves_all_values_within_reach(spark):
+    one, two = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    cases = [
+        ("SSN: 123-45-6789, 234-56-7890", ["123-45-6789", "234-56-7890"]),
+        ("SSN: 000-45-6789, 234-56-7890", ["234-56-7890"]),
+        (f"key {one[:32]} {two}", [one, two]),
+        ("123-45-6789, 234-56-7890 ssn", ["123-45-6789", "234-56-7890"]),
+        ("SSN" + ":" * 45 + "123-45-6789", ["123-45-6789"]),
+        ("SSN" + ":" * 48 + "123-45-6789 " + "." * 24 + "ssn", []),
+    ]
+    got = spans(table(spark, [(n, t, "", "", 0) for n, (t, _) in enumerate(cases)]), base=False)
+    for n, (text, expected) in enumerate(cases):
+        assert [text[a:b] for kind, a, b in got[n] if kind in ("ssn", "secret")] == expected, text
+
+
 def test_odd_rows(spark):
     got = pii.find(odd(spark), ["doc_id", "row"]).collect()
     assert len(got) == len(ODD)
