@@ -15,8 +15,10 @@ from mascate.llm.frames import map_texts
 
 #: Bytes of a window, how many neighbouring windows compete, and how often one must win.
 WINDOW, RIVALS, WINS = 32, 32, 8
-#: Texts of fewer bytes take each of their windows of so many bytes.
+#: Texts of fewer bytes take each of their windows of so many bytes, and nothing else.
 SHORT, SHORT_WINDOW = 128, 8
+#: Texts of fewer bytes take them beside the chosen windows, so that near copies on either side of a limit share features.
+MIDDLE = 4 * SHORT
 #: Steps of the entropy scale; windows under the least step hold too little to tell texts apart.
 STEPS, LEAST_STEP = 1000, 200
 #: Bits of a filter, bits a feature sets, features of a filter before the next one is begun.
@@ -115,8 +117,17 @@ def _filters(hashes: list[int]) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _short_windows(text: bytes) -> list[bytes]:
+    size = min(SHORT_WINDOW, len(text))
+    return [text[p : p + size] for p in range(len(text) - size + 1 if text else 0)]
+
+
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
-    """The digest of each text: its filters one after the other; none for an empty text."""
+    """The digest of each text: its filters one after the other; none for an empty text.
+
+    Chosen and short windows have filters of their own, so that either kind can be compared with a
+    text that has only that one. A text of which none is chosen has its short windows, whatever its size.
+    """
     digest_of = {}
     distinct = dict.fromkeys(texts)
     hashed = xxhash.xxh3_64_intdigest
@@ -124,11 +135,11 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
         starts, _ = _edges(block)
         for text, start, places in zip(block, starts, _chosen(block, ranks), strict=True):
             digest_of[text] = _filters([hashed(text[p : p + WINDOW]) for p in (places - start).tolist()])
+            if len(text) < MIDDLE or not digest_of[text]:
+                digest_of[text] += _filters([hashed(w) for w in _short_windows(text)])
     for text in distinct:
         if len(text) < SHORT:
-            size = min(SHORT_WINDOW, len(text))
-            windows = range(len(text) - size + 1 if text else 0)
-            digest_of[text] = _filters([hashed(text[p : p + size]) for p in windows])
+            digest_of[text] = _filters([hashed(w) for w in _short_windows(text)])
     return [digest_of[text] for text in texts]
 
 

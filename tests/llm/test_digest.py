@@ -46,6 +46,23 @@ def test_likeness():
         assert digest.likeness(made[n], edited) == digest.likeness(edited, made[n])
 
 
+def test_near_copies_on_either_side_of_a_limit():
+    texts = [prose(n, 400).encode() for n in range(40)]
+    ranks = digest.rarity_ranks(digest.count_steps(texts))
+    for whole, part in [(150, 100), (130, 125), (190, 127), (520, 505), (600, 400)]:
+        for n in range(39):
+            one, other, next_one = digest.digests([texts[n][:whole], texts[n][:part], texts[n + 1][:part]], ranks)
+            assert digest.likeness(one, other) > 0.5 > 0.3 > digest.likeness(one, next_one), (whole, part, n)
+
+
+def test_texts_of_little_entropy_differ():
+    ranks = digest.rarity_ranks(digest.count_steps([prose(1, 400).encode()]))
+    made = digest.digests([b"a" * 200, b"-" * 200, b"a" * 5000, b"-" * 5000, b""], ranks)
+    assert all(made[:4]) and made[4] == b""
+    assert digest.likeness(made[0], made[2]) == 1.0
+    assert max(digest.likeness(made[n], made[n + 1]) for n in (0, 2, 3)) == 0.0
+
+
 def order(items):
     """Descending ids, NULL last."""
     return sorted(items, key=lambda i: (i[0] is None, -(i[0] or 0)))
