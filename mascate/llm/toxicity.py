@@ -39,7 +39,7 @@ FEATURES = ("first", "second", "insults", "occurrences", "any_insult")
 _BASE = 64
 #: By length, which is bounded by LONGEST.
 _KNOWN: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_SPELLED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 _INNER = re.compile(r"[\W_]+")
 
 
@@ -214,7 +214,7 @@ def units(token: str) -> list[str]:
     """What of a token is scored: its letters without marks at the ends, and without marks inside."""
     shown = token.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
     plain = _INNER.sub("", shown)
-    forms = {form for form in (shown, plain) if form}
+    forms = dict.fromkeys(form for form in (plain, shown) if form)
     windows = []
     for form in forms:
         if len(form) <= LONGEST:
@@ -277,15 +277,32 @@ def _logistic(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def _contexts(train: DataFrame) -> DataFrame:
     """(word, bad, fine): in how many different places, told by the words around, each word stands.
 
-    Copies of a passage count as one place. Words are cut as ``units`` cuts them.
+    Copies of a passage count as one place. Words are all ``units`` of all ``tokens``, as in scoring;
+    the first unit of a token stands for it as a neighbour.
     """
 
+    def head(token: str) -> str:
+        return next(iter(units(token)), "")
+
+    def places_of(text: str) -> Iterator[tuple[str, str, str]]:
+        """(unit, token before, token after) for each unit of each token."""
+        lower = text.lower()
+        cut = [every for token in lower.split() if (every := units(token))]
+        for n, every in enumerate(cut):
+            before, after = cut[n - 1][0] if n else "", cut[n + 1][0] if n + 1 < len(cut) else ""
+            for unit in every:
+                yield unit, before, after
+        for run in _SPELLED.finditer(lower):
+            before = lower[max(0, run.start() - 64) : run.start()].split()[-1:]
+            after = lower[run.end() : run.end() + 64].split()[:1]
+            for unit in units("".join(run[0].split())):
+                yield unit, head(*before or [""]), head(*after or [""])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = [w for token in (text or "").lower().split() for w in units(token)[:1]]
-                around = list(zip(["", *words], words, [*words[1:], ""], strict=False))
-                words_of, marks = [w for _, w, _ in around], [hash_of(a, b) for a, _, b in around]
+                around = list(places_of(text or ""))
+                words_of, marks = [w for w, _, _ in around], [hash_of(a, b) for _, a, b in around]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words_of, pa.string()), pa.array(marks, pa.int64()), pa.array([toxic] * len(marks), pa.int32())],
                     names=["word", "around", "toxic"],

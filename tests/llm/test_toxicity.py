@@ -55,6 +55,16 @@ def corpus(count=900):
     return rows, labels
 
 
+def test_training_counts_all_that_is_scored(spark):
+    long = "abcdefghijkl" * 2 + "snivelrat"
+    texts = [f"one {long} two", "one tr.ash two", "one b l o r g two", "one b a d two"]
+    train = spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    counts = {r["word"]: r["bad"] for r in toxicity._contexts(train).collect()}
+    scored = {unit for text in texts for token in toxicity.tokens(text) for unit in toxicity.units(token)}
+    assert set(counts) == scored >= {"trash", "tr.ash", "blorg", "bad", long[12:36]}
+    assert counts["trash"] == counts["tr.ash"] == counts["blorg"] == 1
+
+
 def test_held_out_accuracy_with_disguised_insults(spark):
     rows, labels = corpus()
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
