@@ -8,8 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mascate.llm import bpe, digest, line_dedup, mixing, pii, quality_bayes, quality_rules, simhash, toxicity, url_filter
-from mascate.llm.frames import sha256_hex
+from mascate.llm import (
+    bpe,
+    digest,
+    line_dedup,
+    mixing,
+    periodic_runs,
+    pii,
+    quality_bayes,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_filter,
+)
+from mascate.llm.frames import sha256_hex, words_of
 from mascate.llm.oracles import ORACLES as ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -112,6 +124,42 @@ def op10_mixing_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumns({c: F.round(c, 9) for c in ("target", "expected", "reached")})
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents, of which one in ten by a hash of its id repeats some of its words up to its end."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = words_of(F.col("text"))
+    n = F.size(words)
+    turn = F.floor(mark / 10)
+    begin = F.pmod(turn, n).cast("int")
+    period = (1 + F.floor((n - begin) / (3 + F.pmod(turn, F.lit(8))))).cast("int")
+    again = F.array_repeat(F.slice(words, begin + 1, period), F.ceil((n - begin) / period).cast("int"))
+    tail = F.slice(F.concat(F.slice(words, F.lit(1), begin), F.flatten(again)), F.lit(1), n)
+    edited = F.when((mark % 10 == 0) & (n > 0), F.array_join(tail, " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", edited.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_periodic_tails(table(spark, sf_dir, "documents")), ["doc_id"])
+    line = lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n"))
+    # by start, then period: of equal ones the first stays
+    best = F.aggregate(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))),
+        F.try_element_at("runs", F.lit(1)),
+        lambda most, run: F.when(run["length"] * most["period"] > most["length"] * run["period"], run).otherwise(most),
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha256_hex(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"),
+        sha256_hex(F.col("collapsed")).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -125,4 +173,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_bayes": op9_quality_bayes,
     "op10_mixing": op10_mixing,
     "op10_mixing_shares": op10_mixing_shares,
+    "op11_periodic_runs": op11_periodic_runs,
 }
