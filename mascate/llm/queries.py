@@ -18,6 +18,7 @@ from mascate.llm import (
     quality_bayes,
     quality_rules,
     simhash,
+    table_kmeans,
     toxicity,
     url_filter,
 )
@@ -160,6 +161,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -174,4 +179,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op10_mixing_shares": op10_mixing_shares,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
