@@ -17,6 +17,7 @@ from mascate.llm import (
     pii,
     quality_bayes,
     quality_rules,
+    secrets,
     simhash,
     table_kmeans,
     toxicity,
@@ -161,6 +162,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    kinds = F.col("spans.kind")
+    counts = {f"n_{kind}": F.size(kinds) - F.size(F.array_remove(kinds, kind)) for kind in secrets.FORMS}
+    base = F.filter("spans", lambda s: s["kind"].isin(list(secrets.FORMS)))
+    return found.select(
+        "doc_id",
+        *[value.cast("long").alias(name) for name, value in counts.items()],
+        sha256_hex(pii.joined(base)).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_kmeans.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -179,5 +193,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op10_mixing_shares": op10_mixing_shares,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_secrets": op12_secrets,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
