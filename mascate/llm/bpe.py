@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from mascate.llm.frames import SLICE, map_texts
 #: Fixed values of byte-level tokenizers: the pattern that splits a text into words.
 WORDS = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 SPACED = re.compile(r" (?=\S)").split
-#: Words and pairs remembered by a task; what is forgotten is worked out again.
-MEMORY = 3 << 16
+#: The key of a trie's node that has the token which ends there; no byte.
+ARC = -1
+#: Pieces, words and pairs remembered by a worker, each twice as often at most; what is forgotten is worked out again.
+MEMORY = 3 << 17
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,16 +48,21 @@ def emitted(labels: list[bytes], packed: bytes) -> str:
 
 
 class Memory(dict):
-    """A dictionary that works out what it lacks and starts anew when it is full."""
+    """A dictionary that works out what it lacks; when it is full, what was not asked for since the last time goes."""
 
     def __init__(self, work):
         super().__init__()
         self.work = work
+        self.older = {}
 
     def __missing__(self, key):
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.work(key)
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.work(key)
+        self[key] = value
         return value
 
 
@@ -68,7 +76,8 @@ class Automaton:
 
     A gadget is kept as what it copies and cuts (``left``, ``right``, ``time``, ``cut``), not as
     copied rows, which would be the square of the vocabulary; ``follows`` reads an arc out of the
-    stack of gadgets and is remembered as a table of transitions.
+    stack of gadgets and is remembered as a table of transitions. All arcs that a word may take from
+    a place are read off its bytes in one walk down ``trie``, the table of the arcs' labels.
     """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
@@ -80,12 +89,19 @@ class Automaton:
             self._gadget(n, vocabulary[u], vocabulary[v], vocabulary[u + v])
         plain = [n for token, n in vocabulary.items() if token not in special]
         self.numbers = {self.labels[n]: n for n in plain if self.time[n] >= 0 or len(self.labels[n]) == 1}
-        self.longest = max(map(len, self.numbers))
+        self.trie: dict = {}
+        for label, number in self.numbers.items():
+            node = self.trie
+            for byte in label:
+                node = node.setdefault(byte, {})
+            node[ARC] = number
+        self.sizes = [len(label) for label in self.labels]
         self.transitions = Memory(lambda arc: self.follows(arc >> 32, arc & 0xFFFFFFFF))
         self.special = special
         known = "|".join(re.escape(token) for token in sorted(special, key=len, reverse=True))
         self.parts = re.compile(f"({known})") if special else None
         self.split = regex.compile(WORDS).findall
+        self.words = Memory(self._packed)
         self.later = Memory(lambda piece: self._words(" " + piece))
 
     def _gadget(self, n: int, u: int, v: int, w: int) -> None:
@@ -108,35 +124,55 @@ class Automaton:
                 return True
         return False
 
+    def _arcs(self, data: bytes, at: int) -> list[int]:
+        """The tokens that ``data`` goes on with at a place, the shortest first."""
+        node, found = self.trie, []
+        for byte in data[at:]:
+            node = node.get(byte)
+            if node is None:
+                break
+            if ARC in node:
+                found.append(node[ARC])
+        return found
+
     def word(self, data: bytes) -> list[int]:
         """The one accepted sequence of tokens that spells ``data``.
 
         Longer arcs are tried first. A place from which the end cannot be reached is not entered
         again: each prefix has one accepted sequence, so it would be reached in the same state.
         """
-        size, longest, token_of, transitions = len(data), self.longest, self.numbers.get, self.transitions
-        at, end, state, found, closed = 0, min(size, longest), -1, [], None
-        while at < size:
-            while end > at:
-                token = token_of(data[at:end])
-                if token is not None and (closed is None or end not in closed):
-                    if state < 0 or transitions[state << 32 | token]:
-                        found.append(token)
-                        at, state = end, token
-                        end = size if size - at < longest else at + longest
-                        break
-                end -= 1
+        whole = self.numbers.get(data)
+        if whole is not None or not data:
+            return [whole] if data else []
+        size, sizes, transitions = len(data), self.sizes, self.transitions
+        at, state, found, left, closed = 0, -1, [], [], set()
+        arcs = self._arcs(data, 0)
+        while True:
+            while arcs:
+                token = arcs.pop()
+                end = at + sizes[token]
+                if end not in closed and (state < 0 or transitions[state << 32 | token]):
+                    found.append(token)
+                    if end == size:
+                        return found
+                    left.append(arcs)
+                    at, state = end, token
+                    arcs = self._arcs(data, at)
+                    break
             else:
-                closed = closed or set()
                 closed.add(at)
-                end = at - 1
-                at -= len(self.labels[found.pop()])
-                state = found[-1] if found else -1
-        return found
+                at -= sizes[found.pop()]
+                arcs, state = left.pop(), found[-1] if found else -1
+
+    def _packed(self, word: str) -> bytes:
+        tokens = self.word(word.encode("utf-8", "surrogatepass"))
+        return pack(f"<{len(tokens)}I", *tokens)
 
     def _words(self, piece: str) -> bytes:
-        words = [self.word(word.encode("utf-8", "surrogatepass")) for word in self.split(piece)]
-        return np.array([token for word in words for token in word], "<u4").tobytes()
+        words = self.words
+        if piece[:1] == " " and piece.isascii() and piece[1:].isalpha():
+            return words[piece]
+        return b"".join([words[word] for word in self.split(piece)])
 
     def _plain(self, text: str) -> list[bytes]:
         """A word starts at each space before something else than white space, so such pieces are apart."""
@@ -151,7 +187,7 @@ class Automaton:
         packed = []
         for part in self.parts.split(text):
             if part in self.special:
-                packed.append(np.array([self.special[part]], "<u4").tobytes())
+                packed.append(pack("<I", self.special[part]))
             else:
                 packed += self._plain(part)
         return b"".join(packed)
