@@ -79,8 +79,26 @@ def net_purchases(
         raise ValueError(f"grain must be 'month' or 'day', got {grain!r}")
     window = resolve_window(as_of, start, end, month, months)
     period = F.trunc("date", "MM") if grain == "month" else F.col("date")
-    layout = "yyyy-MM" if grain == "month" else "yyyy-MM-dd"
+    net = (
+        net_ledger(orders, returns, window)
+        .groupBy(F.col("tax_id").alias("account"), period.alias("period"))
+        .agg(F.sum("value").alias("value"))
+    )
+    return net_purchases_of(net, targets, customers, history, sellers, grain, seller_no, ordered)
 
+
+def net_purchases_of(
+    net: DataFrame,
+    targets: DataFrame,
+    customers: DataFrame,
+    history: DataFrame,
+    sellers: DataFrame,
+    grain: str = "month",
+    seller_no: int | None = None,
+    ordered: bool = True,
+) -> DataFrame:
+    """:func:`net_purchases` of sums that are there already: ``account, period, value``, one row per pair."""
+    layout = "yyyy-MM" if grain == "month" else "yyyy-MM-dd"
     asked = target_groups(targets, customers)
     owner = latest_owner(history, sellers).withColumnRenamed("tax_digits", "parent_tax_id14")
     group_source = F.concat(F.lit("group "), F.col("group_id"))
@@ -106,11 +124,6 @@ def net_purchases(
             )
         )
     )
-    net = (
-        net_ledger(orders, returns, window)
-        .groupBy(F.col("tax_id").alias("account"), period.alias("period"))
-        .agg(F.sum("value").alias("value"))
-    )
     sums = [F.sum("value").alias("value")]
     if seller_no is None:
         per_account = links.join(net, "account")

@@ -15,6 +15,7 @@ from mascate.operators.dedupe import best_per_key
 from mascate.operators.fallback import with_fallback
 from mascate.operators.ledger import net_ledger
 from mascate.operators.lookup import lookup
+from mascate.operators.newest import SHOWN, line_number, with_newest
 from mascate.operators.owners import flag_owned, latest_owner
 
 # The least purchase volume and the group name of rows without one.
@@ -61,8 +62,21 @@ def deactivation_risk(
                 F.when(F.col("date") >= F.lit(this_month), current).otherwise(F.lit(0))
             ).alias("month"),
         )
-        .withColumn("tax_digits", digits(F.col("tax_id")))
     )
+    return deactivation_of(per_account, customers, history, sellers, seller_no, minimum, ordered)
+
+
+def deactivation_of(
+    per_account: DataFrame,
+    customers: DataFrame,
+    history: DataFrame,
+    sellers: DataFrame,
+    seller_no: int | None = None,
+    minimum: Decimal | int = MINIMUM,
+    ordered: bool = True,
+) -> DataFrame:
+    """:func:`deactivation_risk` of sums that are there already: ``tax_id, total, month``, one row per id."""
+    per_account = per_account.withColumn("tax_digits", digits(F.col("tax_id")))
     directory = customer_directory(customers)
     parents = directory.select("tax_digits", "parent_tax_id14")
     per_account = flag_owned(per_account, "tax_digits", history, seller_no).join(
@@ -123,10 +137,16 @@ def deactivation_risk(
     return result
 
 
-def _latest_line(*extra: str) -> Column:
-    """The newest sales line of a group; ties go by document, product, then the values shown."""
-    fields = ["date", "document", "product", "customer_name", "tax_id", "status", "seller_name"]
-    return F.max(F.struct(*fields, *extra)).alias("last")
+def line_facts(sales_lines: DataFrame, window: DateWindow) -> DataFrame:
+    """The lines of a window in the shape of month records: ``day``, ``value``, ``lines`` and ``newest``."""
+    return sales_lines.where(window.holds(F.col("date")) & F.col("customer_id").isNotNull()).select(
+        "customer_id",
+        F.col("date").alias("day"),
+        F.col("signed_value").alias("value"),
+        F.lit(1).cast("long").alias("lines"),
+        line_number(sales_lines).alias("newest"),
+        *SHOWN,
+    )
 
 
 def _shown_seller(history: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -144,12 +164,28 @@ def active_customers(
     ordered: bool = True,
 ) -> DataFrame:
     """Customers with a net of at least 1 over the six closed months before ``as_of``."""
-    window = DateWindow(add_months(as_of, -6), first_of_month(as_of))
+    lines = line_facts(sales_lines, active_window(as_of))
+    return active_of(lines, customers, history, sellers, ordered)
+
+
+def active_window(as_of: date) -> DateWindow:
+    """The six closed months before ``as_of``."""
+    return DateWindow(add_months(as_of, -6), first_of_month(as_of))
+
+
+def active_of(
+    lines: DataFrame, customers: DataFrame, history: DataFrame, sellers: DataFrame, ordered: bool = True
+) -> DataFrame:
+    """:func:`active_customers` of :func:`line_facts`, or of month records, of the window."""
     active = (
-        sales_lines.where(window.holds(F.col("date")) & F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(F.sum("signed_value").alias("net"), _latest_line())
-        .where((F.col("net") >= 1) & visible(F.col("last.status")))
+        with_newest(
+            lines.groupBy("customer_id")
+            .agg(F.sum("value").alias("net"), F.max("newest").alias("newest"))
+            .where(F.col("net") >= 1),
+            lines,
+            "customer_id",
+        )
+        .where(visible(F.col("last.status")))
         .select("customer_id", "last.*")
         .withColumn("tax_digits", digits(F.col("tax_id")))
     )
@@ -188,28 +224,48 @@ def record_risk(
 ) -> DataFrame:
     """Customers under the minimum over the two closed months before ``month``, and their recovery.
 
-    One pass over the lines gives the closed, current and six-month sums and the newest line.
+    One pass over the lines gives the closed, current and six-month sums and the newest line's
+    number; the texts of that line are fetched for the customers at risk only.
     """
+    lines = line_facts(sales_lines, record_window(month))
+    return record_risk_of(lines, history, sellers, month, minimum, seller_name, store, ordered)
+
+
+def record_window(month: date) -> DateWindow:
+    """The month and the six before it."""
+    m = first_of_month(month)
+    return DateWindow(add_months(m, -6), add_months(m, 1))
+
+
+def record_risk_of(
+    lines: DataFrame,
+    history: DataFrame,
+    sellers: DataFrame,
+    month: date,
+    minimum: Decimal | int = MINIMUM,
+    seller_name: str | None = None,
+    store: int | None = None,
+    ordered: bool = True,
+) -> DataFrame:
+    """:func:`record_risk` of :func:`line_facts`, or of month records, of the window."""
     m = first_of_month(month)
-    window = DateWindow(add_months(m, -6), add_months(m, 1))
-    day, value = F.col("date"), F.col("signed_value")
+    day, value = F.col("day"), F.col("value")
     closed = (day >= F.lit(add_months(m, -2))) & (day < F.lit(m))
     zero = F.lit(0)
-    per_customer = (
-        sales_lines.where(window.holds(day) & F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
+    under = (
+        lines.groupBy("customer_id")
         .agg(
-            F.count_if(closed).alias("closed_lines"),
+            F.sum(F.when(closed, F.col("lines"))).alias("closed_lines"),
             F.sum(F.when(closed, value)).alias("closed"),
             F.coalesce(F.sum(F.when(day >= F.lit(m), value)), zero).alias("realised"),
             F.coalesce(F.sum(F.when(day < F.lit(m), value)), zero).alias("bought_6m"),
-            _latest_line("store"),
-        )
-        .where(
-            (F.col("closed_lines") > 0)
-            & (F.col("closed") < _money(minimum))
-            & visible(F.col("last.status"))
+            F.max("newest").alias("newest"),
         )
+        .where((F.col("closed_lines") > 0) & (F.col("closed") < _money(minimum)))
+    )
+    per_customer = (
+        with_newest(under, lines, "customer_id")
+        .where(visible(F.col("last.status")))
         .withColumn("tax_digits", digits(F.col("last.tax_id")))
     )
     result = lookup(per_customer, _shown_seller(history, sellers), "tax_digits").select(

@@ -149,11 +149,10 @@ class Roles:
         )
         shown = self.customers().select("customer_id", F.col("name").alias("customer_name"), "status")
         sellers = self.sellers().select("seller_no", F.col("name").alias("seller_name"), "store")
-        return (
-            sold.unionByName(returned)
-            .join(shown, "customer_id", "left")
-            .join(sellers, "seller_no", "left")
+        lines = sold.unionByName(returned).withColumns(
+            {name: F.col(name).cast("decimal(14,0)") for name in ("document", "product")}
         )
+        return lines.join(shown, "customer_id", "left").join(sellers, "seller_no", "left")
 
     # League
 

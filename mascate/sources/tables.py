@@ -6,7 +6,9 @@ Types are fixed here and never inferred.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mascate.functions.calendar import DateWindow, first_of_month
+from mascate.sources.shared import append_entry, entries, first_entries
 
 _MOVEMENT = (
     "store INT, document DECIMAL(9,0), date DATE, seller_no INT, tax_id STRING, "
@@ -147,36 +150,46 @@ def write_snapshot(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
+_FROZEN = "month DATE, run STRING"
+
+
+def _frozen(spark: SparkSession, root: str) -> DataFrame:
+    return first_entries(entries(spark, root, _FROZEN), "month")
+
+
 def frozen_months(spark: SparkSession, root: str) -> DataFrame:
     """The months (column ``month``) that :func:`freeze_month` has stored under ``root``, also empty ones."""
-    try:
-        return spark.read.schema("month DATE").parquet(f"{root.rstrip('/')}/months/*")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "month DATE")
+    return _frozen(spark, root).select("month").distinct()
 
 
 def freeze_month(df: DataFrame, root: str, month: date) -> bool:
-    """Store the rows of a month once and for all; False, and nothing written, if it is stored already.
+    """Store the rows of a month once and for all; False if it is, or meanwhile was, stored by another run.
 
-    The rows go into a folder of the month, then an entry into the table of months, which commits
-    them: rows without an entry are what a broken run has left, and are not read and replaced by
-    the next run. Of two runs at once the second one fails at the entry. A month without rows has
+    The rows go into a folder of this run alone, then an entry that names the run commits them. No run
+    writes where another one has written, so a frozen month never changes: of two runs at once the
+    first entry counts, and what the other one has left is read by nobody. A month without rows has
     its entry too.
     """
-    month, spark = first_of_month(month), df.sparkSession
+    month, spark, root = first_of_month(month), df.sparkSession, root.rstrip("/")
     if frozen_months(spark, root).where(F.col("month") == F.lit(month)).limit(1).count():
         return False
-    root = root.rstrip("/")
-    df.drop("month").write.mode("overwrite").parquet(f"{root}/rows/month={month.isoformat()}")
-    entry = spark.range(1).select(F.lit(month).alias("month"))
-    entry.write.mode("errorifexists").parquet(f"{root}/months/{month.isoformat()}")
-    return True
+    run = str(uuid.uuid4())
+    df.drop("month").write.parquet(f"{root}/rows/month={month.isoformat()}/run={run}")
+    append_entry(spark.range(1).select(F.lit(month).alias("month"), F.lit(run).alias("run")), root)
+    return bool(_frozen(spark, root).where((F.col("month") == F.lit(month)) & (F.col("run") == run)).count())
+
 
+def read_months(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """The rows of all frozen months, with their month.
 
-def read_months(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of all frozen months, with their month."""
-    rows = spark.read.option("basePath", f"{root.rstrip('/')}/rows").parquet(f"{root.rstrip('/')}/rows/month=*")
-    rows = rows.withColumn("month", F.col("month").cast("date"))
-    return rows.join(frozen_months(spark, root), "month", "left_semi")
+    A store without any month has no rows to tell the columns from; ``schema`` (without ``month``) does.
+    """
+    root = root.rstrip("/")
+    frozen = _frozen(spark, root).select("month", "run")
+    try:
+        rows = spark.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows/month=*/run=*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND" or schema is None:
+            raise
+        return spark.createDataFrame([], f"{schema}, month DATE")
+    return rows.withColumn("month", F.col("month").cast("date")).join(frozen, ["month", "run"], "left_semi").drop("run")
