@@ -61,3 +61,10 @@ def first_entries(found: DataFrame, key: str, run: str = "run") -> DataFrame:
     first = found.groupBy(key).agg(F.min(F.struct("written", run)).alias("first"))
     chosen = first.select(key, F.col(f"first.{run}").alias(run))
     return found.join(chosen, [key, run], "left_semi")
+
+
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows from a Parquet table of their own in the shared folder, so that Spark knows their size."""
+    path = new_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
