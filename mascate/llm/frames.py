@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mascate.sources.shared import kept, shared_folder
+
 #: Texts that a task has as Python strings at a time.
 SLICE = 512
 #: The characters that part words, as a class of a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def prepare_checkpoints(spark: SparkSession) -> None:
-    """Keep the folder that the cluster names; without one, a shared folder beside the warehouse.
-
-    Only a local master, where driver and executor are one process, gets a temporary folder.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and context.master.startswith("local[") or context.master == "local":
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-
-
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The same rows, read from the shared checkpoint folder: a lost executor takes none of them along."""
-    prepare_checkpoints(frame.sparkSession)
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -43,11 +29,7 @@ def written(frame: DataFrame) -> DataFrame:
 
     A join broadcasts the table only if that size is under the session's threshold.
     """
-    spark = frame.sparkSession
-    prepare_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return kept(frame, "table")
 
 
 def map_texts(

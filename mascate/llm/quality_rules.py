@@ -19,7 +19,8 @@ RULES = {
     "capitals": "n_upper > n_lower",
     "repeated_lines": "n_lines >= 6 and 2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 25 * n_words",
+    # Latin letters only: scripts that do not part words by spaces have long ones
+    "long_words": "n_upper + n_lower > 25 * n_words",
 }
 BASE = ("few_words", "repeated_words")
 #: Which rules a version of the policy applies.

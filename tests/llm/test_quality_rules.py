@@ -55,6 +55,14 @@ def test_policies_and_ablation(spark):
     assert quality_rules.keep_good(odd(spark)).columns == odd(spark).columns
 
 
+def test_long_words_are_those_of_latin_letters(spark):
+    chinese = " ".join("老磨坊的看守人写下了那一年运来的粮食以及是谁把它们送来的这一切" + str(n) for n in range(12))
+    blobs = " ".join("QWxhZGRpbjpvcGVuIHNlc2FtZQQWxhZGRpbjpvcGVuIHNlc2FtZQ" + str(n) for n in range(12))
+    judged = quality_rules.ledger(table(spark, [(1, chinese, "zh", "a", 0), (2, blobs, "en", "a", 0)]), ["doc_id"])
+    bit = quality_rules.mask(("long_words",))
+    assert {r["doc_id"]: bool(r["failed"] & bit) for r in judged.collect()} == {1: False, 2: True}
+
+
 def test_empty_table(spark):
     assert quality_rules.ledger(empty(spark), ["doc_id"]).count() == 0
     assert quality_rules.policy_report(quality_rules.ledger(empty(spark), ["doc_id"])).count() == 0
