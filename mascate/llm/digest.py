@@ -10,15 +10,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from mascate.llm.frames import map_texts
 
-#: Bytes of a window, how many neighbouring windows compete, and how often one must win.
-WINDOW, RIVALS, WINS = 32, 32, 8
-#: Texts of fewer bytes take each of their windows of so many bytes, and nothing else.
-SHORT, SHORT_WINDOW = 128, 8
-#: Texts of fewer bytes take them beside the chosen windows, so that near copies on either side of a limit share features.
-MIDDLE = 4 * SHORT
+#: The two kinds of windows that every text has features of: their bytes, how many neighbouring windows
+#: compete, and how often one must win. The long ones tell texts apart, the short ones find texts of a line or two
+#: within others.
+LONG, SHORT = (32, 32, 8), (12, 16, 1)
+KINDS = (LONG, SHORT)
 #: Steps of the entropy scale; windows under the least step hold too little to tell texts apart.
 STEPS, LEAST_STEP = 1000, 200
 #: Bits of a filter, bits a feature sets, features of a filter before the next one is begun.
@@ -27,27 +28,29 @@ BITS, HASHES, FULL = 2048, 5, 160
 BUCKET, MOST_BUCKETS = 4096, 10_000
 _BLOCK = 1 << 18
 _FIXED = 1 << 20
-_SUM = np.array([round(c * np.log2(c) * _FIXED) if c else 0 for c in range(WINDOW + 1)], np.int64)
-_MOST = int(_SUM[WINDOW])
+_SUM = np.array([round(c * np.log2(c) * _FIXED) if c else 0 for c in range(LONG[0] + 1)], np.int64)
 
 
-def entropy_steps(data: np.ndarray) -> np.ndarray:
-    """The entropy of each window of WINDOW bytes, in steps from 0 to STEPS, in whole numbers throughout.
+def entropy_steps(data: np.ndarray, window: int = LONG[0]) -> np.ndarray:
+    """The entropy of each window of so many bytes, in steps from 0 to STEPS, in whole numbers throughout.
 
     The sum of c log c over a window's byte counts changes with the byte that leaves and the one
-    that comes; both changes follow from how many of the 31 bytes after or before it equal it.
+    that comes; both changes follow from how many of the other bytes after or before it equal it.
     """
-    count = len(data) - WINDOW + 1
+    count = len(data) - window + 1
+    if count < 1:
+        return np.empty(0, np.int16)
     ahead, behind = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
-    for k in range(1, WINDOW):
+    for k in range(1, window):
         same = (data[:-k] == data[k:]).view(np.uint8)
         ahead[:-k] += same
         behind[k:] += same
-    gone, come = ahead[: count - 1], behind[WINDOW:]
+    gone, come = ahead[: count - 1], behind[window:]
     change = _SUM[gone] - _SUM[gone + 1] + _SUM[come + 1] - _SUM[come]
-    first = int(_SUM[np.bincount(data[:WINDOW], minlength=256)].sum())
+    first = int(_SUM[np.bincount(data[:window], minlength=256)].sum())
     sums = np.concatenate(([first], first + np.cumsum(change)))
-    return ((_MOST - sums) * STEPS // _MOST).astype(np.int16)
+    most = int(_SUM[window])
+    return ((most - sums) * STEPS // most).astype(np.int16)
 
 
 def _blocks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
@@ -69,41 +72,62 @@ def _edges(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_steps(texts: list[bytes]) -> np.ndarray:
-    """How often each entropy step occurs among the windows of the texts that are not short."""
-    counts = np.zeros(STEPS + 1, np.int64)
-    for block in _blocks(t for t in texts if len(t) >= SHORT):
-        steps = entropy_steps(np.frombuffer(b"".join(block), np.uint8))
-        for start, end in zip(*_edges(block), strict=True):
-            counts += np.bincount(steps[start : end - WINDOW + 1], minlength=STEPS + 1)
+    """How often each entropy step occurs among the windows of the texts, a row for each kind of window."""
+    counts = np.zeros((len(KINDS), STEPS + 1), np.int64)
+    for kind, (window, _, _) in enumerate(KINDS):
+        for block in _blocks(t for t in texts if len(t) >= window):
+            steps = entropy_steps(np.frombuffer(b"".join(block), np.uint8), window)
+            inside = np.ones(len(steps), bool)
+            starts, _ = _edges(block)
+            # windows over the end of one text and the start of the next one
+            over = starts[1:, None] - np.arange(1, window)[None, :]
+            inside[over.ravel()] = False
+            counts[kind] += np.bincount(steps[inside], minlength=STEPS + 1)
     return counts
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
-    """The rank of each entropy step, the rarest first; steps of too little entropy come after all."""
-    order = np.lexsort((np.arange(STEPS + 1), counts))
-    ranks = np.empty(STEPS + 1, np.int64)
-    ranks[order] = np.arange(STEPS + 1)
-    ranks[:LEAST_STEP] = STEPS + 1
+    """For each kind the rank of each entropy step, the rarest first; steps of too little entropy come after all."""
+    ranks = np.empty(counts.shape, np.int64)
+    for own, of in zip(ranks, counts):
+        own[np.lexsort((np.arange(STEPS + 1), of))] = np.arange(STEPS + 1)
+        own[:LEAST_STEP] += STEPS + 1
     return ranks
 
 
-def _chosen(block: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """For each text of a block, which windows win against their neighbours often enough."""
-    steps = entropy_steps(np.frombuffer(b"".join(block), np.uint8))
+def _chosen(block: list[bytes], ranks: np.ndarray, window: int, rivals: int, wins: int) -> list[np.ndarray]:
+    """For each text of a block, which of its windows win against their neighbours often enough.
+
+    A text of fewer windows than compete has one contest among them all. Where nobody wins often
+    enough, or all windows hold too little entropy, the best one of each contest is taken.
+    """
+    steps = entropy_steps(np.frombuffer(b"".join(block), np.uint8), window)
     starts, ends = _edges(block)
     place = np.arange(len(steps), dtype=np.int64)
     least = ranks[steps] << 32 | place
+    pad = np.full(rivals, np.iinfo(np.int64).max)
+    least = np.concatenate((least, pad))
     width = 1
-    while width < RIVALS:
+    while width < rivals:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    inside = np.zeros(len(least), bool)
-    for start, end in zip(starts, ends, strict=True):
-        inside[start : end - WINDOW + 1 - RIVALS + 1] = True
-    winners = least[inside]
-    winners = winners[winners >> 32 <= STEPS] & 0xFFFFFFFF
-    often = np.flatnonzero(np.bincount(winners, minlength=1) >= WINS)
-    return np.split(often, np.searchsorted(often, ends[:-1]))
+    found = []
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        count = end - start - window + 1
+        if count < rivals:
+            own = ranks[steps[start : start + count]] << 32 | place[start : start + count]
+            winners = own.min(keepdims=True)
+        else:
+            winners = least[start : start + count - rivals + 1]
+        good = winners[winners >> 32 <= STEPS] & 0xFFFFFFFF
+        often = np.empty(0, np.int64)
+        if len(good):
+            times = np.bincount(good - start)
+            often = np.flatnonzero(times >= wins)
+            if not len(often):
+                often = np.flatnonzero(times == times.max())
+        found.append(often if len(often) else np.unique(winners & 0xFFFFFFFF) - start)
+    return found
 
 
 def _filters(hashes: list[int]) -> bytes:
@@ -117,29 +141,22 @@ def _filters(hashes: list[int]) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _short_windows(text: bytes) -> list[bytes]:
-    size = min(SHORT_WINDOW, len(text))
-    return [text[p : p + size] for p in range(len(text) - size + 1 if text else 0)]
-
-
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
     """The digest of each text: its filters one after the other; none for an empty text.
 
-    Chosen and short windows have filters of their own, so that either kind can be compared with a
-    text that has only that one. A text of which none is chosen has its short windows, whatever its size.
+    All texts are treated alike, whatever their size: they have their chosen long windows and their
+    chosen short ones, in filters of their own. A text of fewer bytes than a short window is its own.
     """
-    digest_of = {}
-    distinct = dict.fromkeys(texts)
+    distinct = [text for text in dict.fromkeys(texts) if text]
+    digest_of = dict.fromkeys(texts, b"")
     hashed = xxhash.xxh3_64_intdigest
-    for block in _blocks(t for t in distinct if len(t) >= SHORT):
-        starts, _ = _edges(block)
-        for text, start, places in zip(block, starts, _chosen(block, ranks), strict=True):
-            digest_of[text] = _filters([hashed(text[p : p + WINDOW]) for p in (places - start).tolist()])
-            if len(text) < MIDDLE or not digest_of[text]:
-                digest_of[text] += _filters([hashed(w) for w in _short_windows(text)])
+    for (window, rivals, wins), own in zip(KINDS, ranks):
+        for block in _blocks(t for t in distinct if len(t) >= window):
+            for text, places in zip(block, _chosen(block, own, window, rivals, wins), strict=True):
+                digest_of[text] += _filters([hashed(text[p : p + window]) for p in places.tolist()])
     for text in distinct:
-        if len(text) < SHORT:
-            digest_of[text] = _filters([hashed(w) for w in _short_windows(text)])
+        if not digest_of[text]:
+            digest_of[text] = _filters([hashed(text)])
     return [digest_of[text] for text in texts]
 
 
@@ -170,11 +187,11 @@ def likeness(left: bytes, right: bytes) -> float:
 
 
 def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The ranks of the entropy steps from the windows of all texts; 1,001 counts reach the driver."""
+    """The ranks of the entropy steps from the windows of all texts; 1,001 counts for each kind reach the driver."""
 
     def start():
         def work(texts: list[str]) -> list[pa.Array]:
-            counts = count_steps([t.encode("utf-8", "surrogatepass") for t in texts])
+            counts = count_steps([t.encode("utf-8", "surrogatepass") for t in texts]).ravel()
             seen = np.flatnonzero(counts)
             none = [None] * (len(texts) - 1)
             steps = pa.array([seen.tolist(), *none][: len(texts)], pa.list_(pa.int32()))
@@ -185,10 +202,10 @@ def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
     counted = map_texts(docs.select(F.col(text).alias("text")), [], "text", start, "steps array<int>, counts array<long>")
     each = counted.where("steps is not null").select(F.explode(F.arrays_zip("steps", "counts")).alias("c"))
     sums = each.groupBy(F.col("c.steps").alias("step")).agg(F.sum("c.counts").alias("windows")).collect()
-    counts = np.zeros(STEPS + 1, np.int64)
+    counts = np.zeros(len(KINDS) * (STEPS + 1), np.int64)
     for row in sums:
         counts[row["step"]] = row["windows"]
-    return rarity_ranks(counts)
+    return rarity_ranks(counts.reshape(len(KINDS), STEPS + 1))
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", ranks: np.ndarray | None = None) -> DataFrame:
@@ -212,7 +229,11 @@ def _in_buckets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     from pyspark.ml.feature import Bucketizer  # a large import that only this needs
 
-    place = F.coalesce(F.col(doc_id).cast("double"), F.lit(float("-inf")))
+    known = F.col(doc_id)
+    if not isinstance(docs.schema[doc_id].dataType, NumericType):
+        # the first six bytes as a number: in order, and exact as a double
+        known = F.conv(F.rpad(F.hex(F.substring(known.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    place = F.coalesce(known.cast("double"), F.lit(float("-inf")))
     named = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), place.alias("place"))
     rows, least = named.agg(F.count(F.lit(1)), F.min(F.when(F.col("place") > float("-inf"), F.col("place")))).first()
     count = max(1, min(MOST_BUCKETS, rows // BUCKET))
@@ -245,7 +266,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     (doc_id, n_chars, edited_sha256, digest, edited_digest, near_edited, near_next). The next
     document is that of the next smaller doc_id, after the last one the first; NULL ids are last,
-    equal ids in the order of a hash of their texts. The edited text has the last third of the
+    equal ids in the order of a hash of their texts. Ids are numbers or strings. The edited text has the last third of the
     code points replaced by the first as many of the next document, or by all it has.
 
     Texts are moved once, to buckets of neighbouring ids that are read as streams; no more than a
@@ -254,7 +275,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ranks = corpus_ranks(docs, text)
     fields = pa.schema(
         [
-            ("doc_id", pa.int64()),
+            ("doc_id", to_arrow_type(docs.schema[doc_id].dataType)),
             ("n_chars", pa.int64()),
             ("edited_sha256", pa.string()),
             ("digest", pa.binary()),
@@ -302,7 +323,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield judged(pairs)
 
     schema = (
-        "doc_id long, n_chars long, edited_sha256 string, digest binary, edited_digest binary, "
+        f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_chars long, edited_sha256 string, digest binary, edited_digest binary, "
         "near_edited double, near_next double"
     )
     return _in_buckets(docs, doc_id, text).mapInArrow(run, schema)
