@@ -7,13 +7,13 @@ Types are fixed here and never inferred.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from mascate.functions.calendar import DateWindow, first_of_month
 from mascate.sources.shared import append_entry, entries, first_entries
@@ -67,17 +67,62 @@ def schema_of(table: str) -> StructType:
     return StructType.fromDDL(TABLES[table])
 
 
+def _shaped(field: StructField, table: str, names: Mapping[str, str]) -> Column:
+    value = F.col(names.get(field.name, field.name))
+    return F.rtrim(value) if field.name in FIXED_WIDTH.get(table, ()) else value
+
+
 def conform(df: DataFrame, table: str, columns: Mapping[str, str] | None = None) -> DataFrame:
-    """Rename and cast a source to the shape of ``table``; only the mapped columns are read."""
+    """Rename and cast a source to the shape of ``table``; only the mapped columns are read.
+
+    A value that does not fit ends the job; :func:`sift` sets such rows aside instead.
+    """
+    names = columns or {}
+    fields = schema_of(table).fields
+    return df.select(*[_shaped(f, table, names).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def sift(
+    df: DataFrame, table: str, columns: Mapping[str, str] | None = None, required: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """A source in the shape of ``table``, and the rows that have no such shape.
+
+    The first frame has the rows all of whose values fit, cast. The second has the others, as they
+    came, in ``row``, with ``reasons``: for each column that is to blame its name, what is wrong
+    (``value`` is no value of the type, or ``missing`` in a column of ``required``) and the value as
+    text. Each row is in exactly one of them, also if it is repeated; NULL fits where it is not
+    required. A text that needs rounding to fit a decimal fits, as in :func:`conform`. Both frames
+    are lazy and read the source by themselves: whoever writes both reads it twice, with the columns
+    that each needs. Columns that are not mapped are only in ``row``.
+    """
     names = columns or {}
+    unknown = set(required) - {f.name for f in schema_of(table).fields}
+    if unknown:
+        raise ValueError(f"{table} has no column {sorted(unknown)}")
+    cast, wrong = [], []
+    for field in schema_of(table).fields:
+        value = _shaped(field, table, names)
+        fitted = value.try_cast(field.dataType)
+        cast.append(fitted.alias(field.name))
+        shown = F.struct(
+            F.lit(field.name).alias("column"),
+            F.when(value.isNull(), "missing").otherwise("value").alias("reason"),
+            value.cast("string").alias("value"),
+        )
+        bad = value.isNotNull() & fitted.isNull()
+        if field.name in required:
+            bad = bad | value.isNull()
+        wrong.append(F.when(bad, shown))
+    reasons = F.array_compact(F.array(*wrong)).alias("reasons")
+    judged = df.select(F.struct("*").alias("row"), F.struct(*cast).alias("fit"), reasons)
+    refused = judged.where(F.size("reasons") > 0).select("row", "reasons")
+    return judged.where(F.size("reasons") == 0).select("fit.*"), refused
 
-    def column(field):
-        value = F.col(names.get(field.name, field.name))
-        if field.name in FIXED_WIDTH.get(table, ()):
-            value = F.rtrim(value)
-        return value.cast(field.dataType).alias(field.name)
 
-    return df.select(*[column(f) for f in schema_of(table).fields])
+def refusals(refused: DataFrame) -> DataFrame:
+    """How often each column of :func:`sift` was to blame, and why: ``column, reason, rows``."""
+    blamed = refused.select(F.explode("reasons").alias("r"))
+    return blamed.groupBy("r.column", "r.reason").agg(F.count("*").alias("rows"))
 
 
 def read_parquet(
@@ -119,28 +164,35 @@ def read_jdbc(
     return conform(reader.options(**(properties or {})).load(), table, columns)
 
 
-def write_facts(df: DataFrame, path: str) -> None:
+def write_facts(df: DataFrame, path: str, key: str = "tax_id", row_group: int | None = None) -> None:
     """Store orders, returns or sales lines by month, so that date windows skip other months.
 
-    Rebalancing gathers small months and splits large ones by size at run time.
+    Rebalancing gathers small months and splits large ones by size at run time. Inside a file rows are
+    sorted by ``key`` and carry a Bloom filter of it, so that a lookup of some ids skips the row groups
+    without them, by their bounds or by the filter. ``row_group`` is their size in bytes (128 MB).
     """
-    (
-        df.withColumn("month", F.trunc("date", "MM"))
-        .hint("rebalance", F.col("month"))
-        .write.partitionBy("month")
-        .mode("errorifexists")
-        .parquet(path)
-    )
+    months = df.withColumn("month", F.trunc("date", "MM")).hint("rebalance", F.col("month"))
+    writer = months.sortWithinPartitions("month", key).write.partitionBy("month").mode("errorifexists")
+    if row_group is not None:
+        writer = writer.option("parquet.block.size", row_group)
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
-def read_facts(spark: SparkSession, table: str, path: str, window: DateWindow) -> DataFrame:
-    """The days of ``window`` of a table stored by :func:`write_facts`; other months are not read."""
+def read_facts(
+    spark: SparkSession, table: str, path: str, window: DateWindow, ids: Sequence[str] | None = None, key: str = "tax_id"
+) -> DataFrame:
+    """The days of ``window`` of a table stored by :func:`write_facts`; other months are not read.
+
+    ``ids``, some literal values of ``key``, reach the scan as a filter: row groups whose bounds or
+    Bloom filter exclude all of them are not read.
+    """
     start = first_of_month(window.start) if window.start is not None else None
     months = DateWindow(start, window.stop)
     stored = spark.read.parquet(path)
-    return conform(
-        stored.where(months.holds(F.col("month")) & window.holds(F.col("date"))), table
-    )
+    rows = stored.where(months.holds(F.col("month")) & window.holds(F.col("date")))
+    if ids is not None:
+        rows = rows.where(F.col(key).isin(list(ids)))
+    return conform(rows, table)
 
 
 def write_snapshot(df: DataFrame, root: str, name: str) -> str:

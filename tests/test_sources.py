@@ -5,7 +5,16 @@ import pytest
 
 from conftest import rows
 from mascate.functions.calendar import DateWindow
-from mascate.sources.tables import TABLES, read_facts, read_parquet, schema_of, write_facts, write_snapshot
+from mascate.sources.tables import (
+    TABLES,
+    read_facts,
+    read_parquet,
+    refusals,
+    schema_of,
+    sift,
+    write_facts,
+    write_snapshot,
+)
 
 
 def test_schemas(spark):
@@ -45,3 +54,60 @@ def test_snapshot_is_never_overwritten(spark, make, tmp_path):
     assert spark.read.parquet(path).count() == 1
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_snapshot(df, str(tmp_path), "v1")
+
+
+DIRTY = [
+    ("1", "12", "2026-01-01", "7", "123   ", "9.994", "S ", 1),
+    ("1", "12", "2026-01-01", "7", "123   ", "9.994", "S ", 1),
+    ("x", "12", "2026-02-30", "7", "123", "abc", None, 2),
+    (None, None, None, None, None, None, None, None),
+    ("2", "9999999999", "2026-01-01", "2147483648", "123", "1e3", "N", 4),
+    ("", "1", "2026-01-01", " 7 ", "", "-0.01", "", 5),
+]
+DIRTY_SCHEMA = "store string, document string, date string, vend string, tax_id string, total string, cancelled string, row int"
+
+
+def test_sift_sets_rows_aside(spark):
+    """Each row goes one way; those that fit are cast as by conform, the others keep their values and their reasons."""
+    source = spark.createDataFrame(DIRTY, DIRTY_SCHEMA)
+    accepted, refused = sift(source, "orders", {"seller_no": "vend"}, required=("date", "tax_id"))
+    assert accepted.schema.simpleString() == schema_of("orders").simpleString()
+    one = (1, Decimal(12), date(2026, 1, 1), 7, "123", Decimal("9.99"), "S")
+    assert rows(accepted) == [one, one]
+    got = {r["row"]["row"]: [tuple(reason) for reason in r["reasons"]] for r in refused.collect()}
+    assert got == {
+        2: [("store", "value", "x"), ("date", "value", "2026-02-30"), ("total", "value", "abc")],
+        None: [("date", "missing", None), ("tax_id", "missing", None)],
+        4: [("document", "value", "9999999999"), ("seller_no", "value", "2147483648")],
+        5: [("store", "value", "")],
+    }
+    assert {(r["column"], r["reason"]): r["rows"] for r in refusals(refused).collect()}["store", "value"] == 2
+    empty = sift(source.limit(0), "orders", {"seller_no": "vend"})
+    assert [df.count() for df in empty] == [0, 0]
+    with pytest.raises(ValueError, match="no column"):
+        sift(source, "orders", required=("vend",))
+
+
+def test_lookup_skips_row_groups(spark, make, tmp_path):
+    """Ids inside the bounds of every row group are found through the Bloom filter."""
+    path = str(tmp_path / "facts")
+    ids = [f"{n:014d}" for n in range(0, 60_000, 2)]
+    orders = spark.createDataFrame([(i,) for i in ids], "tax_id string").selectExpr(
+        "1 AS store", "1 AS document", "DATE '2026-02-03' AS date", "1 AS seller_no", "tax_id", "1 AS total", "'N' AS cancelled"
+    )
+    write_facts(orders.repartition(1), path, row_group=32 * 1024)
+
+    def read_rows(wanted):
+        df = read_facts(spark, "orders", path, DateWindow(), wanted)
+        found = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        while "Scan" not in plan.nodeName():
+            plan = plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan.children().head()
+        return len(found), plan.metrics().apply("numOutputRows").value()
+
+    assert read_rows(None) == (30_000, 30_000)
+    found, scanned = read_rows([ids[n] for n in range(5, 15)])
+    assert found == 10 and scanned < 15_000
+    # odd numbers are between others and in no group
+    found, scanned = read_rows([f"{n:014d}" for n in range(10_001, 50_001, 5_000)])
+    assert found == 0 and scanned < 15_000
