@@ -154,19 +154,24 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     ruled = named.withColumns(parts).withColumns({"rule": name, "verdict": verdict})
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
     urls = ruled.groupBy("url", "verdict").agg(F.count(F.lit(1)).alias("pages"))
-    urls = checkpointed(urls.withColumn("held", held))
+    urls = checkpointed(urls.withColumns({"held": held, "key": F.unhex(F.md5("url"))}))
+    # few URLs make many rows below: a task for each core at least
+    spark = pages.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = urls.repartition(tasks, "key")
     counted = F.when(~F.col("held"), F.col("pages")).otherwise(0)
     counts = _grams(
-        urls.select(
+        spread.select(
             "url",
             F.when(F.col("verdict") == "allow", counted).otherwise(0).alias("yes"),
             F.when(F.col("verdict") == "block", counted).otherwise(0).alias("no"),
         )
     )
     counts = checkpointed(counts.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
-    marks = lookup(_grams(urls.select("url")), _log_ratios(counts), "gram", "inner")
-    scores = marks.groupBy("url").agg(F.avg("ratio").alias("score"))
-    scored = checkpointed(urls.join(scores, "url"))
+    # a character's row carries its URL's digest and not the URL, whose length would count squared
+    marks = lookup(_grams(spread.select("url", "key")).drop("url"), _log_ratios(counts), "gram", "inner")
+    scores = marks.groupBy("key").agg(F.avg("ratio").alias("score"))
+    scored = checkpointed(urls.join(scores, "key"))
     threshold = _threshold(scored)
     chosen = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     found = lookup(ruled, scored.select("url", "score"), "url", "inner")

@@ -94,6 +94,20 @@ def test_scores_match_plain_models(spark):
         assert got[n]["score"] == pytest.approx(expected[url], abs=1e-9)
 
 
+def test_a_very_long_url_without_broadcasts(spark):
+    """200,000 characters in the path and as many in the query; their rows carry no URL."""
+    urls = [*URLS, "http://m.example.net/es/" + "ab" * 100_000, "http://m.example.org/x?" + "cd" * 100_000]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["page_id"]: r for r in url_filter.judge(frame(spark, urls)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(got) == len(urls)
+    assert (got[len(URLS)]["rule"], got[len(URLS)]["verdict"]) == ("net/es/", "block")
+    assert got[len(URLS) + 1]["rule"] is None and math.isfinite(got[len(URLS) + 1]["score"])
+
+
 def test_empty_table(spark):
     assert url_filter.judge(frame(spark, [])).count() == 0
     assert url_filter.judge(frame(spark, [None, None])).count() == 2
