@@ -76,7 +76,11 @@ def race_pacing(
     )
     people = _with_member(runners, members, customers, history, sellers)
     people = flag_owned(people, "tax_id14", history, seller_no)
-    people = with_fallback(people, "owned") if seller_no is not None else people.drop("owned")
+    if seller_no is None:
+        people = people.drop("owned")
+    else:
+        shown = ["member_no", "name", "tax_id", "phone", "seller_no", "seller_name", "total", "goal", "star_value"]
+        people = with_fallback(people.select(*shown, "start", "end", "owned"), "owned", whole=True)
 
     length = F.datediff("end", "start")
     elapsed = F.datediff(F.least(today, F.col("end")), F.col("start")) + 1

@@ -90,7 +90,9 @@ def test_only_the_owners_of_listed_members_are_looked_up(spark):
     assert "strategy=broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["goal_streaks_stage_seller", "deactivation_risk_seller", "birthdays_seller"])
+@pytest.mark.parametrize(
+    "name", ["goal_streaks_stage_seller", "deactivation_risk_seller", "birthdays_seller", "race_pacing_seller"]
+)
 def test_the_fallback_test_reuses_the_facts(spark, name):
     df = QUERIES[name](spark, SF)
     df.collect()
