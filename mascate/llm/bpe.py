@@ -219,8 +219,10 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text",
     ``tokenizer`` is the path of a byte-level BPE file on the driver; its content, of fixed size,
     is broadcast. The strings of its special tokens are read as these tokens. NULL and empty texts
     have no ids; a word of any length costs time in proportion. Rows are never joined or moved.
-    ``decoded`` names a column for what the ids decode to, in the same pass.
+    ``decoded`` names a column for what the ids decode to, in the same pass. Columns of ``keep`` that
+    are named like one of these are replaced. Repeated rows are encoded each, an empty table stays empty.
     """
+    keep = [name for name in keep if name not in ("ids", decoded)]
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
     def start():
@@ -237,7 +239,11 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text",
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All columns and ``text``, decoded from ``ids``; bytes that are no UTF-8 become U+FFFD, NULL stays."""
+    """All columns and ``text``, decoded from ``ids``; bytes that are no UTF-8 become U+FFFD, NULL stays.
+
+    A column that is named like ``text`` is replaced.
+    """
+    encoded = encoded.select(*[name for name in encoded.columns if name != text])
     vocabulary, _, special = read_tokenizer(tokenizer)["parts"]
     shared = encoded.sparkSession.sparkContext.broadcast(labels_of(vocabulary, special))
     schema = StructType([*encoded.schema.fields, StructField(text, StringType())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
 
 from mascate.llm.frames import SPACE, checkpointed, whole_rows
 from mascate.operators.lookup import lookup
@@ -42,8 +43,10 @@ def _sequences(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataF
     )
 
 
-def _place() -> Column:
-    """Where a line stands among all lines, by id and place, in one number."""
+def _place(kind: DataType) -> Column:
+    """Where a line stands among all lines, by id and place, NULL ids first: in one number if ids are numbers."""
+    if not isinstance(kind, NumericType):
+        return F.struct("id", "seq")
     number = F.coalesce(F.col("id"), F.lit(-(2**63))).cast("decimal(20,0)")
     return (number * F.lit(_LINES).cast("decimal(11,0)") + F.col("seq")).cast("decimal(38,0)")
 
@@ -126,7 +129,7 @@ def _later_copies(ranks: DataFrame, min_words: int) -> DataFrame:
     found = held.select("id", "mark", "seq", F.explode("windows").alias("window"))
     found = found.where("window.head is not null and window.tail is not null")
     key = F.struct("window.size", "window.head", "window.tail")
-    found = found.select("id", "mark", _place().alias("place"), key.alias("key"), "window.covered")
+    found = found.select("id", "mark", _place(ranks.schema["id"].dataType).alias("place"), key.alias("key"), "window.covered")
     first = found.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     later = lookup(found, first.where("first < last"), "key", "inner").where("place > first")
     return later.select("id", "mark", F.explode("covered").alias("line")).distinct()

@@ -62,6 +62,14 @@ def test_odd_rows(spark, library):
     assert sorted((r["decoded"] for r in back.collect())) == sorted(d for _, _, d in got)
 
 
+def test_columns_of_the_same_name_are_replaced(spark, library):
+    docs = odd(spark).where("doc_id = 1").selectExpr("doc_id", "text", "1 AS ids", "2 AS decoded", "3 AS row")
+    encoded = bpe.encode(docs, PATH, ["doc_id", "ids", "decoded", "row"], decoded="decoded")
+    assert encoded.columns == ["doc_id", "row", "ids", "decoded"]
+    back = bpe.decode(encoded, PATH)
+    assert back.columns == ["doc_id", "row", "ids", "decoded"] and back.first()["decoded"] == ODD[0][1]
+
+
 def test_digests(spark, library):
     row = queries.bpe_digests(odd(spark).where("doc_id = 1"), ["doc_id"]).first()
     ids, decoded = expected(library, ODD[0][1])

@@ -74,6 +74,20 @@ def test_runs_of_one_word_lines_match_brute_force(spark):
         check(table(spark, [(i, t, "en", "a", len(t)) for i, t in items]), items, min_words)
 
 
+def test_ids_that_are_no_numbers(spark):
+    rng = random.Random(13)
+    lines = ["a", "b c", "d e f", "g h i j", "k l m n o p q r"]
+    items = [(n, "\n".join(rng.choice(lines) for _ in range(rng.randrange(12)))) for n in range(25)] + [(None, "g h i j\na")]
+    named = [(None if i is None else f"doc {i:03d}", t) for i, t in items]
+    cleaned = lambda data, kind: {
+        (row["row"]["doc_id"], row["row"]["text"]): row["cleaned"]
+        for row in line_dedup.dedup_lines(spark.createDataFrame(data, f"doc_id {kind}, text string")).collect()
+    }
+    numbers, strings = cleaned(items, "long"), cleaned(named, "string")
+    assert strings == {(None if i is None else f"doc {i:03d}", t): text for (i, t), text in numbers.items()}
+    assert any(text != cut for (_, text), cut in strings.items())
+
+
 def test_odd_rows(spark):
     check(odd(spark), [(r[0], r[1]) for r in ODD], line_dedup.MIN_WORDS)
 
