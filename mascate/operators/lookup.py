@@ -14,9 +14,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     the key's hash as second join column it is, at the price of one shuffle of its few rows. If
     the right side is small enough to be broadcast, nothing changes.
     """
-    mark = F.xxhash64(key)
-    return (
-        left.withColumn("_mark", mark)
-        .join(right.withColumn("_mark", mark), [key, "_mark"], how)
-        .drop("_mark")
-    )
+    mark, hashed = "_mark", F.xxhash64(key)
+    while mark in (*left.columns, *right.columns):
+        mark += "_"
+    return left.withColumn(mark, hashed).join(right.withColumn(mark, hashed), [key, mark], how).drop(mark)

@@ -79,6 +79,14 @@ def test_hot_parent_lookup_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_lookup_keeps_a_column_of_its_marks_name(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, _mark string")
+    right = spark.createDataFrame([(1, "x")], "k int, _mark_ string")
+    got = lookup(left, right, "k")
+    assert got.columns == ["k", "_mark", "_mark_"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "x"), (2, "b", None)]
+
+
 def test_directory_has_one_shuffle(spark, make):
     plan = plan_of(customer_directory(make("customers", [dict(customer_id=1, tax_id="1")])))
     assert plan.count("Exchange hashpartitioning") == 1
