@@ -27,6 +27,8 @@ BITS, HASHES, FULL = 2048, 5, 160
 #: Documents of a bucket in the order by id, and the most buckets.
 BUCKET, MOST_BUCKETS = 4096, 10_000
 _BLOCK = 1 << 18
+#: Pairs of filters that are compared at a time.
+_PAIRS = 1 << 10
 _FIXED = 1 << 20
 _SUM = np.array([round(c * np.log2(c) * _FIXED) if c else 0 for c in range(LONG[0] + 1)], np.int64)
 
@@ -130,6 +132,20 @@ def _chosen(block: list[bytes], ranks: np.ndarray, window: int, rivals: int, win
     return found
 
 
+def _hashes(data: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each window: its bytes in words of eight, mixed in one after the other."""
+    wide = -(-window // 8) * 8
+    shown = np.zeros((len(places), wide), np.uint8)
+    shown[:, :window] = data[places[:, None] + np.arange(window)]
+    words = shown.view("<u8").astype(np.uint64)
+    value = np.full(len(places), window, np.uint64)
+    for word in words.T:
+        value = (value ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    return value ^ value >> np.uint64(29)
+
+
 def _filters(hashes: list[int]) -> bytes:
     """The hashes of features in chained filters: each feature sets HASHES bits of the filter it falls into."""
     features = np.array(list(dict.fromkeys(hashes)), np.uint64)
@@ -149,14 +165,20 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[bytes]:
     """
     distinct = [text for text in dict.fromkeys(texts) if text]
     digest_of = dict.fromkeys(texts, b"")
-    hashed = xxhash.xxh3_64_intdigest
     for (window, rivals, wins), own in zip(KINDS, ranks):
         for block in _blocks(t for t in distinct if len(t) >= window):
-            for text, places in zip(block, _chosen(block, own, window, rivals, wins), strict=True):
-                digest_of[text] += _filters([hashed(text[p : p + window]) for p in places.tolist()])
+            chosen = _chosen(block, own, window, rivals, wins)
+            starts, _ = _edges(block)
+            counts = [len(places) for places in chosen]
+            every = np.concatenate(chosen) + np.repeat(starts, counts)
+            hashes = _hashes(np.frombuffer(b"".join(block), np.uint8), every, window).tolist()
+            at = 0
+            for text, count in zip(block, counts, strict=True):
+                digest_of[text] += _filters(hashes[at : at + count])
+                at += count
     for text in distinct:
         if not digest_of[text]:
-            digest_of[text] = _filters([hashed(text)])
+            digest_of[text] = _filters([xxhash.xxh3_64_intdigest(text)])
     return [digest_of[text] for text in texts]
 
 
@@ -176,13 +198,15 @@ def likeness(left: bytes, right: bytes) -> float:
     )
     of_b = np.bitwise_count(b).sum(axis=1, dtype=np.int64)
     total = weight = 0.0
-    for one in a:
-        own = int(np.bitwise_count(one).sum())
-        common = np.bitwise_count(b & one).sum(axis=1, dtype=np.int64)
-        chance = own * of_b / BITS
-        room = np.maximum(np.minimum(own, of_b) - chance, 1e-9)
-        total += own * float(np.clip((common - chance) / room, 0, 1).max())
-        weight += own
+    step = max(1, _PAIRS // len(b))
+    for first in range(0, len(a), step):
+        some = a[first : first + step]
+        own = np.bitwise_count(some).sum(axis=1, dtype=np.int64)
+        common = np.bitwise_count(some[:, None, :] & b[None, :, :]).sum(axis=2, dtype=np.int64)
+        chance = own[:, None] * of_b / BITS
+        room = np.maximum(np.minimum(own[:, None], of_b) - chance, 1e-9)
+        total += float((own * np.clip((common - chance) / room, 0, 1).max(axis=1)).sum())
+        weight += float(own.sum())
     return total / weight if weight else 0.0
 
 

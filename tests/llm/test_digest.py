@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-import xxhash
 
 from mascate.llm import digest
 
@@ -37,6 +36,16 @@ def plain_counts(texts):
     return counts
 
 
+def plain_hash(window):
+    """The bytes in words of eight, mixed in one after the other, in Python's whole numbers."""
+    value, full = len(window), (1 << 64) - 1
+    for at in range(0, len(window), 8):
+        value = (value ^ int.from_bytes(window[at : at + 8], "little")) * 0x9E3779B97F4A7C15 & full
+        value ^= value >> 32
+    value = value * 0xD6E8FEB86659FD93 & full
+    return value ^ value >> 29
+
+
 def plain_digest(text, ranks):
     """Contest after contest, feature after feature, bit after bit."""
     chain = b""
@@ -49,7 +58,7 @@ def plain_digest(text, ranks):
         good = [at for at in winners if rank[at] <= digest.STEPS]
         most = max((good.count(at) for at in good), default=0)
         places = sorted({at for at in good if good.count(at) >= min(wins, most)}) or sorted(set(winners))
-        features = list(dict.fromkeys(xxhash.xxh3_64_intdigest(text[at : at + window]) for at in places))
+        features = list(dict.fromkeys(plain_hash(text[at : at + window]) for at in places))
         for first in range(0, len(features), digest.FULL):
             bits = ["0"] * digest.BITS
             for feature in features[first : first + digest.FULL]:
