@@ -20,8 +20,10 @@ WORDS = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)
 SPACED = re.compile(r" (?=\S)").split
 #: The key of a trie's node that has the token which ends there; no byte.
 ARC = -1
-#: Pieces, words and pairs remembered by a worker, each twice as often at most; what is forgotten is worked out again.
-MEMORY = 3 << 17
+#: Words and pairs remembered by a worker, each twice as often at most; what is forgotten is worked out again.
+MEMORY = 1 << 17
+#: Characters of the longest word that is remembered, so that what is remembered has a limit in bytes, too.
+LONG = 32
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,7 +104,6 @@ class Automaton:
         self.parts = re.compile(f"({known})") if special else None
         self.split = regex.compile(WORDS).findall
         self.words = Memory(self._packed)
-        self.later = Memory(lambda piece: self._words(" " + piece))
 
     def _gadget(self, n: int, u: int, v: int, w: int) -> None:
         self.left[w], self.right[w], self.time[w] = u, v, n
@@ -169,16 +170,16 @@ class Automaton:
         return pack(f"<{len(tokens)}I", *tokens)
 
     def _words(self, piece: str) -> bytes:
+        """Pieces of several words are not remembered, only their words: such pieces hardly come twice."""
         words = self.words
-        if piece[:1] == " " and piece.isascii() and piece[1:].isalpha():
+        if len(piece) <= LONG and piece[:1] == " " and piece.isascii() and piece[1:].isalpha():
             return words[piece]
-        return b"".join([words[word] for word in self.split(piece)])
+        return b"".join([words[word] if len(word) <= LONG else self._packed(word) for word in self.split(piece)])
 
     def _plain(self, text: str) -> list[bytes]:
         """A word starts at each space before something else than white space, so such pieces are apart."""
         first, *others = SPACED(text)
-        later = self.later
-        return [self._words(first), *[later[piece] for piece in others]]
+        return [self._words(first), *[self._words(" " + piece) for piece in others]]
 
     def encode(self, text: str) -> bytes:
         """The token numbers of a text, packed as little-endian unsigned 32-bit integers."""

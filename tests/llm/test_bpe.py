@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -54,6 +55,24 @@ def test_transitions_are_those_of_pairs(automaton, library):
         assert automaton.follows(a, b) == ([t.id for t in ids] == [a, b])
 
 
+def remembered_mb(automaton):
+    memories = [m for m in vars(automaton).values() if isinstance(m, bpe.Memory)]
+    return sum(sys.getsizeof(x) for m in memories for d in (m, m.older) for x in (d, *d.keys(), *d.values())) / 1e6
+
+
+def test_what_a_worker_remembers_is_limited(library):
+    rng = random.Random(9)
+    automaton = bpe.compiled(bpe.read_tokenizer(PATH))
+    long = " ".join("".join(rng.choices("abcdefg", k=20_000)) for _ in range(100))
+    assert automaton.encode(long) == expected(library, long)[0]
+    assert remembered_mb(automaton) < 2
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(30):
+        text = " ".join("".join(rng.choices(letters, k=9)) + "##" * (n % 2) for n in range(10_000))
+        assert automaton.encode(text) == expected(library, text)[0]
+    assert remembered_mb(automaton) < 70
+
+
 def test_odd_rows(spark, library):
     encoded = bpe.encode(odd(spark), PATH, ["doc_id", "row"], decoded="decoded")
     got = sorted(((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in encoded.collect()), key=repr)
