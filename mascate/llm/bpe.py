@@ -21,7 +21,7 @@ SPACED = re.compile(r" (?=\S)").split
 #: The key of a trie's node that has the token which ends there; no byte.
 ARC = -1
 #: Words and pairs remembered by a worker, each twice as often at most; what is forgotten is worked out again.
-MEMORY = 1 << 17
+MEMORY = 3 << 16
 #: Characters of the longest word that is remembered, so that what is remembered has a limit in bytes, too.
 LONG = 32
 
