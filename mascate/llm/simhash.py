@@ -94,8 +94,12 @@ def links(fps: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
     enumerate the 64-bit ball of radius 2 instead (2,081 points): two of them share a point if,
     and only if, they differ in 4 bits or fewer, and those at a point are tied to the smallest. So
     no fingerprint costs more than a constant, and the classes are the same.
+
+    Spark takes an exploded table to be as small as what it came from: it would make the points of
+    a few thousand fingerprints in one task and broadcast them through the driver. So the number of
+    tasks is given, and the join told to sort and merge; its sides share one shuffle of the points.
     """
-    near = _near(fps)
+    near = _near(fps.where(F.col("fp").isNotNull()))
     crowded = near.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     crowded = crowded.where(F.col("members") > paired_bucket).select("key")
     thin = near.join(crowded, "key", "left_anti")
@@ -105,10 +109,12 @@ def links(fps: DataFrame, paired_bucket: int = PAIRED_BUCKET) -> DataFrame:
     paired = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & meet & close)
     paired = paired.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
-    dense = near.join(crowded, "key", "left_semi").select("fp").distinct()
-    points = dense.select("fp", F.explode(_ball(F.col("fp"), 64, 2)).alias("point"))
+    spark = fps.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dense = near.join(crowded, "key", "left_semi").select("fp").repartition(tasks, "fp").distinct()
+    points = dense.select("fp", F.explode(_ball(F.col("fp"), 64, 2)).alias("point")).repartition("point")
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("members"))
-    halfway = points.join(least.where("members > 1").drop("members"), "point")
+    halfway = points.join(least.where("members > 1").drop("members").hint("merge"), "point")
     tied = halfway.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     return paired.unionByName(tied).distinct()
 

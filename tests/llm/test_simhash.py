@@ -67,6 +67,35 @@ def test_classes_match_all_pairs(spark, paired_bucket):
     assert found(simhash.near_duplicates(docs, paired_bucket=paired_bucket)) == brute_classes(items)
 
 
+def plan_nodes(plan):
+    """All nodes of the plan that ran, inside its stages too."""
+    name = plan.nodeName()
+    if name.startswith("Adaptive"):
+        return plan_nodes(plan.executedPlan())
+    if "QueryStage" in name:
+        return plan_nodes(plan.plan())
+    children = plan.children()
+    return [plan] + [node for n in range(children.size()) for node in plan_nodes(children.apply(n))]
+
+
+def test_points_of_a_crowded_bucket_stay_off_the_driver(spark):
+    """300 fingerprints have 624,300 points, of whose size Spark knows nothing before they are shuffled."""
+    center = 0x1234_5678_9ABC_DEF0
+    fps = [center ^ flip for flip in simhash._flips(64, 2)[:300]]
+    found = simhash.links(spark.createDataFrame([(fp,) for fp in fps], "fp long"), paired_bucket=16)
+    edges = {(r["a"], r["b"]) for r in found.collect()}
+    broadcast = [n for n in plan_nodes(found._jdf.queryExecution().executedPlan()) if "BroadcastExchange" in n.nodeName()]
+    assert all(n.metrics().apply("dataSize").value() < 10 << 20 for n in broadcast)
+    assert edges and all(((a ^ b) % (1 << 64)).bit_count() <= 4 for a, b in edges)
+    near, reached = {fp: set() for fp in fps}, [center]
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for fp in reached:
+        reached += near[fp].difference(reached)
+    assert sorted(reached) == sorted(fps)
+
+
 def test_odd_rows(spark):
     assert found(simhash.near_duplicates(odd(spark))) == brute_classes([(r[0], r[1]) for r in ODD])
 
